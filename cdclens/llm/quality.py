@@ -76,8 +76,8 @@ def _examples(bits: int):
     return of
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label: str = "quality", max_labelled: int = MAX_LABELLED, bits: int = BITS, epochs: int = 2, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.05, l2: float = 0.0) -> Model:
-    """``learn`` says which rows of ``labels`` may be learned from."""
+def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label: str = "quality", max_labelled: int = MAX_LABELLED, bits: int = BITS, epochs: int | None = None, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.05, l2: float = 0.0) -> Model:
+    """``learn`` says which rows of ``labels`` may be learned from.  Epochs: 2, or up to 20 over few rows."""
     spark = docs.sparkSession
     S.arrow_batches(spark)
     chosen = labelled(labels, label, F.lit(True) if learn is None else learn, max_labelled)
@@ -86,7 +86,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label
     z, n, w = np.zeros(1 << bits), np.zeros(1 << bits), np.zeros(1 << bits)
     bias_z = bias_n = 0.0
     ones = seen = 0
-    for _ in range(epochs):
+    done = 0
+    while done < (epochs or max(2, min(20, MAX_LABELLED // max(seen // max(done, 1), 1)))):
+        done += 1
         for row in sample.select("label", "ids", "values").toLocalIterator(prefetchPartitions=True):
             i, x, y = np.frombuffer(row[1], "<i4"), np.frombuffer(row[2], "<f4").astype(float), row[0]
             zi, ni = z[i], n[i]

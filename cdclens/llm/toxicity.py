@@ -99,7 +99,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, may_r
     kept = [
         r[0]
         for r in pairs.groupBy("feature").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("u"))
-        .where((F.col("p") >= max(3, n_p // 100)) & (prior * F.col("p") / n_p >= 0.5 * (F.col("u") + 1) / n_u) & ((F.col("p") - expected) / F.sqrt(expected) >= 4))
+        .where((F.col("p") >= max(3, -(-15 * n_p // 1000))) & (prior * F.col("p") / n_p >= 0.5 * (F.col("u") + 1) / n_u) & ((F.col("p") - expected) / F.sqrt(expected) >= 4))
         .orderBy(((F.col("p") - expected) / F.sqrt(expected)).desc(), "feature").limit(MAX_FEATURES).select("feature").collect()
     ]
     if not kept:
