@@ -22,7 +22,7 @@ def table(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     """Written as Parquet in the shared folder and read again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared(spark, what)
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).option("parquet.enable.dictionary", str(codec == "zstd").lower()).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -13,6 +13,7 @@ MODULES = {
     "op3_toxicity": "toxicity",
     "op4_decontaminate": "decontaminate",
     "op5_mix_sources": "mixing",
+    "op9_ngram_jaccard": "ngram_join",
     "op10_quality": "quality",
 }
 
