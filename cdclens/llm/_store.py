@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,8 +57,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_shipped: set[str] = set()
+
+
 def arrow_batches(spark: SparkSession) -> None:
-    """Batches for Python of bounded bytes, unless the session says how large."""
+    """Ready for Python workers: this package goes to the executors (a zip that the driver serves), and batches have
+    bounded bytes, unless the session says how large."""
     for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "16777216")):
         if spark.conf.get(key, None) is None:
             spark.conf.set(key, value)
+    if spark.sparkContext.applicationId not in _shipped:
+        root = Path(__file__).resolve().parents[1]
+        to = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
+        with zipfile.ZipFile(to, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        spark.sparkContext.addPyFile(str(to))
+        _shipped.add(spark.sparkContext.applicationId)

@@ -17,17 +17,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -
     split.  Each round is a checkpoint in the shared folder.  Nothing is gathered on the driver but a count.
     """
     e = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e = S.cut(e)
+    e = S.table(e, "step")
     for _ in range(rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: the larger neighbours of u link to the smallest of u and its neighbours
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
         large = both.join(low, both["u"] == low["c"]).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = S.cut(large)
+        large = S.table(large, "step")
         # small star: the smaller neighbours of u, and u, link to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
         joined = large.join(low, large["u"] == low["c"])
-        small = S.cut(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select(F.col("c").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct())
+        small = S.table(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select(F.col("c").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct(), "step")
         same = small.exceptAll(e).isEmpty() and small.count() == e.count()
         e = small
         if same:

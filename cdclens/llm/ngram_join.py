@@ -111,7 +111,7 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def _first_pass(n: int, percent: int):
+def _first_pass(n: int, percent: int, keys_of=keys):
     """A batch's rows with size, class, keys and links.  A key that several rows of the batch have stays with the first,
     to which the others link, so a key that very many documents have leaves a batch once."""
 
@@ -121,7 +121,7 @@ def _first_pass(n: int, percent: int):
             for _, s in _sets(batch.column("text"), n):
                 size.append(len(s))
                 sig.append(_signature(s))
-                key.append(keys(s, percent) if len(s) else s)
+                key.append(keys_of(s, percent) if len(s) else s)
             sig = np.array(sig, dtype=_U)
             counts = np.array([len(k) for k in key], dtype=np.int64)
             flat = np.concatenate(key) if key else np.zeros(0, dtype=_U)
@@ -215,18 +215,19 @@ def _tiles(percent: int):
     return of
 
 
-def class_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, class) of each row, and (a, b), classes that link: enough of them to keep all components."""
+def class_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, keys_of=keys) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, class) of each row, and (a, b), classes that link: enough of them to keep all components.
+    ``keys_of(set, percent)``: a set's keys; sets without one in common are not compared."""
     spark = docs.sparkSession
     S.arrow_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("id", F.coalesce("doc_id", F.xxhash64("text")))
-    first = S.table(docs.mapInArrow(_first_pass(shingle, percent), "id long, doc_id long, n int, class long, keys array<long>, links array<long>"), "ngram-keys", "uncompressed")
+    first = S.table(docs.mapInArrow(_first_pass(shingle, percent, keys_of), "id long, doc_id long, n int, class long, keys array<long>, links array<long>"), "ngram-keys", "uncompressed")
     chain = first.select(F.explode("keys").alias("key"), "class").withColumn("b", F.lag("class").over(Window.partitionBy("key").orderBy("class"))).where("b <> class")
     near = chain.select(F.col("class").alias("a"), "b").union(first.select(F.col("class").alias("a"), F.explode("links").alias("b"))).distinct()
-    cluster = S.cut(components(near))
+    cluster = S.table(components(near), "step")
     # one document of each class in a cluster, whatever its number of copies
     one = first.groupBy("class").agg(F.min("id").alias("id"))
-    chosen = S.cut(one.join(cluster, one["class"] == cluster["node"]).select("id", "class", "component"))
+    chosen = S.table(one.join(cluster, one["class"] == cluster["node"]).select("id", "class", "component"), "step")
     few = chosen.count() <= MAX_BROADCAST
     hint = F.broadcast if few else (lambda df: df)
     sets = docs.join(hint(chosen.select("id").distinct()), "id").select("text").mapInArrow(_second_pass(shingle), "class long, n int, set binary")
@@ -235,12 +236,12 @@ def class_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     step = F.floor(F.log("n") * (4 / log(100 / percent))).cast("long")
     sets = S.table(sets.withColumn("step", step), "ngram-sets", "uncompressed")
     whole = sets.groupBy("component").agg(F.count("*").alias("k"), F.sum("n").alias("total")).where((F.col("k") > BLOCK) | (F.col("total") > BLOCK_SHINGLES)).select("component")
-    whole = S.cut(whole)
+    whole = S.table(whole, "step")
     steps = sets.select("component", "step", "n").join(whole, "component").groupBy("component", "step").agg(F.count("*").alias("k"), F.sum("n").alias("total"), F.min("n").alias("least"), F.max("n").alias("most"))
-    steps = S.cut(steps.withColumn("blocks", F.ceil(F.greatest(F.col("k") / BLOCK, F.col("total") / BLOCK_SHINGLES))))
+    steps = S.table(steps.withColumn("blocks", F.ceil(F.greatest(F.col("k") / BLOCK, F.col("total") / BLOCK_SHINGLES))), "step")
     blocks = steps.withColumn("r", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select("component", (F.col("step") * (1 << 40) + F.col("r")).alias("block"), "least", "most")
     partner = blocks.select(F.col("component").alias("c2"), F.col("block").alias("right"), F.col("least").alias("least2"))
-    tiles = S.cut(blocks.join(partner, (F.col("component") == F.col("c2")) & (F.col("right") >= F.col("block")) & (100 * F.col("most").cast("long") >= percent * F.col("least2"))).select("component", F.col("block").alias("left"), "right"))
+    tiles = S.table(blocks.join(partner, (F.col("component") == F.col("c2")) & (F.col("right") >= F.col("block")) & (100 * F.col("most").cast("long") >= percent * F.col("least2"))).select("component", F.col("block").alias("left"), "right"), "step")
     sides = tiles.select("component", "left", "right", F.col("left").alias("block")).union(tiles.where("left <> right").select("component", "left", "right", F.col("right").alias("block")))
     large = sets.join(steps.select("component", "step", "blocks"), ["component", "step"]).withColumn("block", F.col("step") * (1 << 40) + F.pmod(F.xxhash64("class"), F.col("blocks"))).join(sides, ["component", "block"])
     zero = F.lit(0).cast("long")
@@ -257,7 +258,7 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     # the smallest doc_id of each component, by way of its classes' smallest
     lowest = members.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("low"))
     lowest = lowest.join(comp, lowest["class"] == comp["node"], "left").select("class", "low", F.coalesce("component", "class").alias("component"))
-    named = S.cut(lowest.join(lowest.groupBy("component").agg(F.min("low").alias("component_id")), "component").select(F.col("class").alias("class_"), "component_id"))
+    named = S.table(lowest.join(lowest.groupBy("component").agg(F.min("low").alias("component_id")), "component").select(F.col("class").alias("class_"), "component_id"), "step")
     # a class with very many copies is a hot key of this join, whose rows the join may split
     out = members.join(named, (members["class"] == F.col("class_")) & (members["n"] > 0), "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "class", F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query -> the module that has its ``query`` and, where SQL can express it, ``SQL``.
 MODULES = {
     "op1_line_dedup": "line_dedup",
+    "op2_substring_dedup": "substring_dedup",
     "op3_toxicity": "toxicity",
     "op4_decontaminate": "decontaminate",
     "op5_mix_sources": "mixing",
+    "op6_media_columns": "media",
     "op9_ngram_jaccard": "ngram_join",
     "op10_quality": "quality",
 }
