@@ -31,7 +31,7 @@ from math import floor, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -215,12 +215,17 @@ def _tiles(percent: int):
     return of
 
 
+def row_key() -> Column:
+    """A hash of doc_id and text that names a row, nulls included."""
+    return F.xxhash64("doc_id", "text", F.col("doc_id").isNull(), F.col("text").isNull()).alias("id")
+
+
 def class_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, keys_of=keys) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, class) of each row, and (a, b), classes that link: enough of them to keep all components.
+    """(id, doc_id, n, class) of each row, and (a, b), classes that link: enough of them to keep all components.
     ``keys_of(set, percent)``: a set's keys; sets without one in common are not compared."""
     spark = docs.sparkSession
     S.arrow_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("id", F.coalesce("doc_id", F.xxhash64("text")))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key())
     first = S.table(docs.mapInArrow(_first_pass(shingle, percent, keys_of), "id long, doc_id long, n int, class long, keys array<long>, links array<long>"), "ngram-keys", "uncompressed")
     chain = first.select(F.explode("keys").alias("key"), "class").withColumn("b", F.lag("class").over(Window.partitionBy("key").orderBy("class"))).where("b <> class")
     near = chain.select(F.col("class").alias("a"), "b").union(first.select(F.col("class").alias("a"), F.explode("links").alias("b"))).distinct()
@@ -248,27 +253,38 @@ def class_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     small = sets.join(whole, "component", "left_anti").withColumns({"left": zero, "right": zero, "block": zero})
     cols = ["component", "left", "right", "block", "class", "set"]
     dealt = small.select(*cols).union(large.select(*cols)).repartition("component", "left", "right").sortWithinPartitions("component", "left", "right", "block")
-    return first.select("doc_id", "n", "class"), dealt.mapInArrow(_tiles(percent), "a long, b long")
+    return first.select("id", "doc_id", "n", "class"), dealt.mapInArrow(_tiles(percent), "a long, b long")
 
 
 def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, class, component_id) of each row; rows of one class have equal sets."""
+    """(id, doc_id, n_shingles, class, component, component_id) of each row; rows of one class have equal sets."""
     members, links = class_links(docs, shingle, percent)
     comp = components(links)
     # the smallest doc_id of each component, by way of its classes' smallest
     lowest = members.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("low"))
     lowest = lowest.join(comp, lowest["class"] == comp["node"], "left").select("class", "low", F.coalesce("component", "class").alias("component"))
-    named = S.table(lowest.join(lowest.groupBy("component").agg(F.min("low").alias("component_id")), "component").select(F.col("class").alias("class_"), "component_id"), "step")
+    named = S.table(lowest.join(lowest.groupBy("component").agg(F.min("low").alias("component_id")), "component").select(F.col("class").alias("class_"), "component", "component_id"), "step")
     # a class with very many copies is a hot key of this join, whose rows the join may split
     out = members.join(named, (members["class"] == F.col("class_")) & (members["n"] > 0), "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "class", F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("id", "doc_id", F.col("n").cast("long").alias("n_shingles"), "class", "component", F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, that with the smallest doc_id (and of its rows one); columns stay as they are."""
-    found = classes(docs, shingle, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["__id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One row of each component, that with the smallest doc_id, and all rows without words; columns stay as they are.
+    Of equal rows (same doc_id and text) one stays."""
+    found = S.table(classes(docs, shingle, percent).select("id", "doc_id", "component", "n_shingles"), "ngram-classes")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")
+    first = found.where("component is not null").groupBy("component").agg(F.min(order)["id"].alias("first"))
+    gone = found.join(first, "component").where("id <> first").select(F.col("id").alias("__id")).distinct()
+    own = "__row"
+    keyed = docs.withColumn(own, row_key())
+    few = gone.count() <= MAX_BROADCAST
+    kept = keyed.join(F.broadcast(gone) if few else gone, F.col(own) == F.col("__id"), "left_anti")
+    again = S.table(found.groupBy("id").count().where("count > 1").select(F.col("id").alias("__id")), "step")
+    if not again.isEmpty():
+        twice = kept.join(again, F.col(own) == F.col("__id"), "left_semi").dropDuplicates([own])
+        kept = kept.join(again, F.col(own) == F.col("__id"), "left_anti").unionByName(twice)
+    return kept.drop(own)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

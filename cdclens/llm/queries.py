@@ -15,6 +15,8 @@ MODULES = {
     "op4_decontaminate": "decontaminate",
     "op5_mix_sources": "mixing",
     "op6_media_columns": "media",
+    "op7_warc": "warc",
+    "op8_token_file": "tokens",
     "op9_ngram_jaccard": "ngram_join",
     "op10_quality": "quality",
 }
