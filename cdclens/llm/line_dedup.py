@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from cdclens.llm import _store as S
 
 WINDOW = 3
+#: Positions (4 bytes each, and 32 a row) that may be broadcast: 8 MB.
+MAX_BROADCAST = 2_000_000
 
 
 def _row_keys() -> list[Column]:
@@ -46,7 +48,9 @@ def removals(docs: DataFrame) -> DataFrame:
 def line_dedup(docs: DataFrame, removed: str | None = None) -> DataFrame:
     """The documents with the repeated lines taken out of ``text``; ``removed`` names a column for their number."""
     own = ["__key1", "__key2"]
-    gone = removals(docs).select(F.col("key1").alias(own[0]), F.col("key2").alias(own[1]), F.col("gone").alias("__gone"))
+    gone = S.table(removals(docs), "line-removals").select(F.col("key1").alias(own[0]), F.col("key2").alias(own[1]), F.col("gone").alias("__gone"))
+    # few removals go to the texts; with more, both sides are shuffled
+    gone = F.broadcast(gone) if (gone.agg(F.sum(F.size("__gone") + 8)).first()[0] or 0) <= MAX_BROADCAST else gone
     keyed = docs.select("*", *(k.alias(o) for k, o in zip(_row_keys(), own))).join(gone, own, "left")
     lines = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("__gone", i)), "\n")
