@@ -222,7 +222,7 @@ def carve(media: DataFrame, column: str = "media", declared: str = "declared") -
 
     from pyspark.sql.types import StructType
 
-    schema = StructType(media.schema.fields).add("type", "string").add("segments", "array<struct<offset:bigint,length:bigint,type:string,bytes:binary>>")
+    schema = StructType(media.schema.fields + StructType.fromDDL("type string, segments array<struct<offset:bigint,length:bigint,type:string,bytes:binary>>").fields)
     S.arrow_batches(media.sparkSession)
     return media.mapInArrow(of, schema)
 
