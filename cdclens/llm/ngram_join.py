@@ -73,8 +73,8 @@ def segments(i: int, percent: int) -> int:
 def keys(s: np.ndarray, percent: int) -> np.ndarray:
     """A set's keys: hashes of (band, segment, content).
 
-    A set with fewer than ``d + 1`` non-empty segments sends all it has.  That misses only partners of which the same
-    holds; both then also send the keys of another hashing, and so on.  Sets short of segments in ``TRIES`` hashings
+    A set with fewer than ``d + 1`` non-empty segments sends all it has.  That misses only partners with which it shares empty
+    ones alone, so of which the same holds; both then also send the keys of another hashing, and so on.  Sets short of segments in ``TRIES`` hashings
     (never seen: one in a hundred of seven shingles is short in one) send all segments of a last one, the empty too, of which any two have an equal one.
     """
     n = len(s)
@@ -149,7 +149,7 @@ def _second_pass(n: int):
         for batch in batches:
             sets = [s for _, s in _sets(batch.column("text"), n)]
             sig = np.array([_signature(s) for s in sets], dtype=_U)
-            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "n", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "set"])
 
     return of
 
@@ -208,7 +208,8 @@ def _tiles(percent: int):
                 if rows and rows[0][:3] != row[:3]:
                     yield links(rows)
                     rows = []
-                rows.append(row)
+                if not rows or rows[-1][4] != row[4]:  # equal rows have equal sets
+                    rows.append(row)
         if rows:
             yield links(rows)
 
@@ -230,30 +231,29 @@ def class_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     chain = first.select(F.explode("keys").alias("key"), "class").withColumn("b", F.lag("class").over(Window.partitionBy("key").orderBy("class"))).where("b <> class")
     near = chain.select(F.col("class").alias("a"), "b").union(first.select(F.col("class").alias("a"), F.explode("links").alias("b"))).distinct()
     cluster = S.table(components(near), "step")
-    # one document of each class in a cluster, whatever its number of copies
-    one = first.groupBy("class").agg(F.min("id").alias("id"))
-    chosen = S.table(one.join(cluster, one["class"] == cluster["node"]).select("id", "class", "component"), "step")
-    few = chosen.count() <= MAX_BROADCAST
-    hint = F.broadcast if few else (lambda df: df)
-    sets = docs.join(hint(chosen.select("id").distinct()), "id").select("text").mapInArrow(_second_pass(shingle), "class long, n int, set binary")
-    sets = sets.join(hint(chosen.select(F.col("class").alias("of"), "component")), F.col("class") == F.col("of")).drop("of").dropDuplicates(["class"])
-    # a step is a quarter of the band within which sets may link; a block holds one step's classes
-    step = F.floor(F.log("n") * (4 / log(100 / percent))).cast("long")
-    sets = S.table(sets.withColumn("step", step), "ngram-sets", "uncompressed")
-    whole = sets.groupBy("component").agg(F.count("*").alias("k"), F.sum("n").alias("total")).where((F.col("k") > BLOCK) | (F.col("total") > BLOCK_SHINGLES)).select("component")
+    # one document of each class in a cluster, whatever its number of copies; all is dealt out before any set is made
+    one = first.groupBy("class").agg(F.min("id").alias("id"), F.max("n").alias("n"))
+    step = F.floor(F.log("n") * (4 / log(100 / percent))).cast("long")  # a quarter of the band within which sets may link
+    chosen = S.table(one.join(cluster, one["class"] == cluster["node"]).select("id", "class", "n", "component", step.alias("step")), "step")
+    hint = F.broadcast if chosen.count() <= MAX_BROADCAST else (lambda df: df)
+    whole = chosen.groupBy("component").agg(F.count("*").alias("k"), F.sum("n").alias("total")).where((F.col("k") > BLOCK) | (F.col("total") > BLOCK_SHINGLES)).select("component")
     whole = S.table(whole, "step")
-    steps = sets.select("component", "step", "n").join(whole, "component").groupBy("component", "step").agg(F.count("*").alias("k"), F.sum("n").alias("total"), F.min("n").alias("least"), F.max("n").alias("most"))
+    # a block holds classes of one step
+    steps = chosen.join(whole, "component").groupBy("component", "step").agg(F.count("*").alias("k"), F.sum("n").alias("total"), F.min("n").alias("least"), F.max("n").alias("most"))
     steps = S.table(steps.withColumn("blocks", F.ceil(F.greatest(F.col("k") / BLOCK, F.col("total") / BLOCK_SHINGLES))), "step")
     blocks = steps.withColumn("r", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select("component", (F.col("step") * (1 << 40) + F.col("r")).alias("block"), "least", "most")
     partner = blocks.select(F.col("component").alias("c2"), F.col("block").alias("right"), F.col("least").alias("least2"))
     tiles = S.table(blocks.join(partner, (F.col("component") == F.col("c2")) & (F.col("right") >= F.col("block")) & (100 * F.col("most").cast("long") >= percent * F.col("least2"))).select("component", F.col("block").alias("left"), "right"), "step")
     sides = tiles.select("component", "left", "right", F.col("left").alias("block")).union(tiles.where("left <> right").select("component", "left", "right", F.col("right").alias("block")))
-    large = sets.join(steps.select("component", "step", "blocks"), ["component", "step"]).withColumn("block", F.col("step") * (1 << 40) + F.pmod(F.xxhash64("class"), F.col("blocks"))).join(sides, ["component", "block"])
+    large = chosen.join(steps.select("component", "step", "blocks"), ["component", "step"]).withColumn("block", F.col("step") * (1 << 40) + F.pmod(F.xxhash64("class"), F.col("blocks"))).join(sides, ["component", "block"])
     zero = F.lit(0).cast("long")
-    small = sets.join(whole, "component", "left_anti").withColumns({"left": zero, "right": zero, "block": zero})
-    cols = ["component", "left", "right", "block", "class", "set"]
-    dealt = small.select(*cols).union(large.select(*cols)).repartition("component", "left", "right").sortWithinPartitions("component", "left", "right", "block")
-    return first.select("id", "doc_id", "n", "class"), dealt.mapInArrow(_tiles(percent), "a long, b long")
+    small = chosen.join(whole, "component", "left_anti").withColumns({"left": zero, "right": zero, "block": zero})
+    cols = ["class", "component", "left", "right", "block"]
+    dealt = S.table(small.select(*cols).union(large.select(*cols)), "step").withColumnRenamed("class", "of")
+    sets = docs.join(hint(chosen.select("id")), "id").select("text").mapInArrow(_second_pass(shingle), "class long, set binary")
+    sets = sets.join(hint(dealt), F.col("class") == F.col("of")).drop("of")
+    sets = sets.repartition("component", "left", "right").sortWithinPartitions("component", "left", "right", "block", "class")
+    return first.select("id", "doc_id", "n", "class"), sets.mapInArrow(_tiles(percent), "a long, b long")
 
 
 def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
