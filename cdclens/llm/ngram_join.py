@@ -66,8 +66,8 @@ def band(n: int) -> int:
 
 
 def segments(i: int, percent: int) -> int:
-    """Segments of band i: a quarter more than its largest sets can differ in."""
-    return max(1, floor(1.25 * ((1 << (i + 1)) - 1) * (100 - percent) / percent) + 1)
+    """Segments of band i: two fifths more than its largest sets can differ in."""
+    return max(1, floor(1.4 * ((1 << (i + 1)) - 1) * (100 - percent) / percent) + 1)
 
 
 def keys(s: np.ndarray, percent: int) -> np.ndarray:
@@ -97,7 +97,10 @@ def keys(s: np.ndarray, percent: int) -> np.ndarray:
                 every = np.zeros(m, dtype=_U)
                 every[place] = content
                 place, content = np.arange(m), every
-            out.append(V.mix(content + place.astype(_U) * _U(0x9E3779B97F4A7C15) + _U((j * 64 + turn) * 2654435761))[: m if short else d + 1])
+            elif not short:  # the segments of most shingles
+                most = np.lexsort((place, starts - ends))[: d + 1]
+                place, content = place[most], content[most]
+            out.append(V.mix(content + place.astype(_U) * _U(0x9E3779B97F4A7C15) + _U((j * 64 + turn) * 2654435761)))
             if not short:
                 break
     return np.concatenate(out)
