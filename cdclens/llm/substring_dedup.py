@@ -12,7 +12,8 @@ themselves (Jaccard 1); windows that overlap or touch in a document merge to one
 
 Linked units form components; in each the first unit by (doc_id, start) stays, the others are marked as removed.
 
-Defined cases: null, empty and short texts have no units; repeats within one document alone are left; equal rows (same doc_id and
+Defined cases: null, empty and short texts have no units; repeats within one document alone are left, but of what another document has too
+every place in a document counts; equal rows (same doc_id and
 text) are one document; rows with null doc_id take no part.
 """
 
@@ -71,10 +72,8 @@ def _windows(batches):
             doc, start, key = [], [], []
             for k in range(b - a):
                 at, g = winnowed(h[off[k] : off[k + 1]])
-                # a window that a document repeats counts once
-                g, first = np.unique(g, return_index=True)
                 doc.append(np.full(len(g), ids[a + k]))
-                start.append(at[first])
+                start.append(at)
                 key.append(g)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(doc).astype(np.int64)), pa.array(np.concatenate(start).astype(np.int32)), pa.array(np.concatenate(key).view(np.int64))], names=["doc_id", "start", "key"])
 

@@ -114,6 +114,19 @@ def test_passages_inside_paragraphs(spark):
     assert substring_dedup.repeats(table(spark, [])).count() == 0
 
 
+def test_a_shared_passage_goes_at_every_place_of_a_document(spark):
+    rng = random.Random(21)
+    passage = prose(rng, 60)
+    twice = [f"{prose(rng, 45)} {passage} {prose(rng, 45)} {passage} {prose(rng, 45)}" for _ in range(2)]
+    alone = prose(rng, 60)
+    rows = [(1, twice[0], "s"), (2, twice[1], "s"), (3, f"{alone} {prose(rng, 45)} {alone}", "s")]
+    out = [r for r in substring_dedup.repeats(table(spark, rows)).collect() if r["kind"] == "passage"]
+    assert Counter((r["doc_id"], r["removed"]) for r in out) == {(1, False): 1, (1, True): 1, (2, True): 2}
+    cleaned = {r["doc_id"]: r["text"] for r in substring_dedup.substring_dedup(table(spark, rows)).collect()}
+    middle = " ".join(passage.split()[12:40])
+    assert [cleaned[k].count(middle) for k in (1, 2)] == [1, 0] and cleaned[3] == rows[2][1]
+
+
 def test_bands_have_high_recall():
     rng = np.random.default_rng(3)
     hits = 0
