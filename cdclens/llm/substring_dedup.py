@@ -8,9 +8,11 @@ sorted shingle arrays decides (>= 0.8), in tiles, with bitmap bounds before.
 *Passages* that two documents share in the middle of different paragraphs leave those paragraphs' Jaccard low, so
 MinHash over paragraphs can't find them.  They are found by 40-word windows, of which winnowing keeps the least hash among any
 11 consecutive ones: a run of 50 words that occurs in two documents has a kept window in both.  Equal windows verify
-themselves (Jaccard 1); windows that overlap or touch in a document merge to one passage.
+themselves (Jaccard 1); windows that overlap or touch in a document, and of which all stay or go for the same passage, merge to one.
 
-Linked units form components; in each the first unit by (doc_id, start) stays, the others are marked as removed.
+Linked paragraphs form components; in each the first by (doc_id, start) stays, the others are marked as removed.  Passages are decided window by
+window: the first place of each stays, and only what the others cover is marked, so a passage that follows another in one document and
+stands alone in the next is not lost with it.  Words of a unit that stays are never taken out, whatever else covers them.
 
 Defined cases: null, empty and short texts have no units; repeats within one document alone are left, but of what another document has too
 every place in a document counts; equal rows (same doc_id and
@@ -78,19 +80,29 @@ def _windows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(doc).astype(np.int64)), pa.array(np.concatenate(start).astype(np.int32)), pa.array(np.concatenate(key).view(np.int64))], names=["doc_id", "start", "key"])
 
 
-def passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(unit, doc_id, start, n_words) of runs of repeated windows, and (a, b), units with a window in common."""
+def _runs(rows: DataFrame, *same: str) -> DataFrame:
+    """``from``, the start of the run a window is in: windows of a document that overlap or touch, and are equal in ``same``."""
+    order = Window.partitionBy("doc_id").orderBy("start")
+    on = F.col("start") <= F.lag("start").over(order) + WINDOW
+    for c in same:
+        on = on & (F.col(c) == F.lag(c).over(order))
+    return rows.withColumn("from", F.last(F.when(~F.coalesce(on, F.lit(False)), F.col("start")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """(doc_id, start, n_words, passage_id, first_doc_id, removed) of runs of windows that two documents have: of each window
+    the first place by (doc_id, start) stays, and a run of other places has the passage_id of the run that stays for it."""
     rows = docs.mapInArrow(_windows, "doc_id long, start int, key long")
-    shared = rows.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
+    shared = rows.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "low")
     hits = S.table(rows.join(shared, "key"), "substring-hits")
-    order = Window.partitionBy("doc_id").orderBy("start")
-    new = F.when(F.col("start") > F.lag("start").over(order) + WINDOW, F.lit(0)).when(F.lag("start").over(order).isNull(), F.lit(0)).otherwise(F.lit(1)) == 0
-    opened = hits.withColumn("from", F.last(F.when(new, F.col("start")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    opened = S.table(opened.select("doc_id", "start", "key", "from", F.xxhash64("doc_id", "from").alias("unit")), "step")
-    units = opened.groupBy("unit", "doc_id", F.col("from").alias("start")).agg((F.max(F.col("start")) + WINDOW - F.col("from")).alias("n_words"))
-    low = opened.groupBy("key").agg(F.min("unit").alias("b"))
-    links = opened.select("key", F.col("unit").alias("a")).join(low, "key").where("a <> b").select("a", "b").distinct()
-    return units, links
+    first = hits.where("doc_id = low").groupBy("key", "doc_id").agg(F.min("start").alias("start"))
+    first = S.table(_runs(first).select("key", "doc_id", "start", "from", F.xxhash64("doc_id", "from").alias("passage_id")), "step")
+    gone = hits.join(first.select("key", F.col("start").alias("first_start"), "passage_id"), "key").where("doc_id <> low or start <> first_start")
+    gone = _runs(gone.select("doc_id", "start", "passage_id", "low"), "passage_id")
+    n_words = (F.max(F.col("start")) + WINDOW - F.col("from")).alias("n_words")
+    kept = first.groupBy("doc_id", "from", "passage_id").agg(n_words).withColumns({"first_doc_id": F.col("doc_id"), "removed": F.lit(False)})
+    gone = gone.groupBy("doc_id", "from", "passage_id", F.col("low").alias("first_doc_id")).agg(n_words).withColumn("removed", F.lit(True))
+    return kept.unionByName(gone).withColumnRenamed("from", "start")
 
 
 def paragraphs(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -109,50 +121,55 @@ def paragraphs(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, start, n_words, passage_id, first_doc_id, removed): each unit of a component that more than one document has."""
+    """(doc_id, kind, start, n_words, passage_id, first_doc_id, removed): each passage and paragraph that more than one document has."""
     S.arrow_batches(docs.sparkSession)
     docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    (u1, l1), (u2, l2) = passages(docs), paragraphs(docs)
-    units = u1.select("unit", "doc_id", F.lit("passage").alias("kind"), F.col("start").cast("long").alias("start"), F.col("n_words").cast("long").alias("n_words")).unionByName(
-        u2.select("unit", "doc_id", F.lit("paragraph").alias("kind"), F.col("start").cast("long").alias("start"), F.col("n_words").cast("long").alias("n_words"))
-    )
-    comp = components(l1.union(l2))
-    rows = S.table(units.join(comp, units["unit"] == comp["node"]).select("doc_id", "kind", "start", "n_words", F.col("component").alias("passage_id")).distinct(), "step")
+    units, links = paragraphs(docs)
+    comp = components(links)
+    rows = S.table(units.join(comp, units["unit"] == comp["node"]).select("doc_id", "start", "n_words", F.col("component").alias("passage_id")).distinct(), "step")
     first = rows.groupBy("passage_id").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last")).where(F.col("last") > F.col("first.doc_id"))
-    return rows.join(first, "passage_id").select("doc_id", "kind", "start", "n_words", "passage_id", F.col("first.doc_id").alias("first_doc_id"), (F.struct("doc_id", "start") != F.col("first")).alias("removed"))
+    rows = rows.join(first, "passage_id").withColumns({"first_doc_id": F.col("first.doc_id"), "removed": F.struct("doc_id", "start") != F.col("first"), "kind": F.lit("paragraph")})
+    cols = ["doc_id", "kind", F.col("start").cast("long").alias("start"), F.col("n_words").cast("long").alias("n_words"), "passage_id", "first_doc_id", "removed"]
+    return passages(docs).withColumn("kind", F.lit("passage")).select(*cols).unionByName(rows.select(*cols))
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
-    """The documents with the removed units' words (passages) and lines (paragraphs) taken out of ``text``."""
-    gone = repeats(docs).where("removed").groupBy(F.col("doc_id").alias("__id")).agg(
-        F.collect_list(F.when(F.col("kind") == "passage", F.struct("start", "n_words"))).alias("__words"), F.collect_list(F.when(F.col("kind") == "paragraph", F.col("start"))).alias("__lines")
-    )
+    """The documents with the removed units' words (passages) and lines (paragraphs) taken out of ``text``, but for words of units that stay."""
+    unit = F.struct("kind", "start", "n_words", "removed")
+    gone = repeats(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(unit).alias("__units"), F.max("removed").alias("__any")).where("__any").drop("__any")
     out = docs.join(gone, docs["doc_id"].cast("long") == gone["__id"], "left")
     schema = out.select("text").schema
 
     @F.arrow_udf("string")
-    def cut(text: pa.Array, spans: pa.Array, lines: pa.Array) -> pa.Array:
-        return pa.array([_without(t, w, k) for t, w, k in zip(text.to_pylist(), spans.to_pylist(), lines.to_pylist())], pa.string())
+    def cut(text: pa.Array, units: pa.Array) -> pa.Array:
+        return pa.array([_without(t, u) for t, u in zip(text.to_pylist(), units.to_pylist())], pa.string())
 
-    out = out.withColumn("text", F.when(F.col("__id").isNull(), F.col("text")).otherwise(cut("text", "__words", "__lines")))
+    out = out.withColumn("text", F.when(F.col("__id").isNull(), F.col("text")).otherwise(cut("text", "__units")))
     assert out.select("text").schema[0].dataType == schema[0].dataType
     return out.select(*docs.columns)
 
 
-def _without(text: str | None, spans: list[dict] | None, lines: list[int] | None) -> str | None:
-    if text is None or (not spans and not lines):
+def _without(text: str | None, units: list[dict] | None) -> str | None:
+    if text is None or not units:
         return text
     import re
 
+    begin, end = (np.array(x, dtype=np.int64) for x in zip(*(m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text))))
+    lines = np.append(0, np.cumsum([len(line) + 1 for line in text.split("\n")]))
+    first = np.searchsorted(begin, lines)  # each line's first word
+    words, whole = np.zeros(len(begin), dtype=bool), np.zeros(len(lines) - 1, dtype=bool)
+    for u in sorted(units, key=lambda u: not u["removed"]):  # those that stay come last
+        k, passage = u["start"], u["kind"] == "passage"
+        words[slice(k, k + u["n_words"]) if passage else slice(first[k], first[k + 1])] = u["removed"]
+        if not passage and u["removed"]:
+            whole[k] = True
     gone = np.zeros(len(text) + 1, dtype=bool)
-    at = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
-    for s in spans or []:
-        gone[at[s["start"]][0] : at[min(s["start"] + s["n_words"], len(at)) - 1][1]] = True
-    begin = 0
-    for k, line in enumerate(text.split("\n")):
-        if k in set(lines or []):
-            gone[begin : begin + len(line) + 1] = True
-        begin += len(line) + 1
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], words, [False]]).astype(np.int8)))
+    for a, b in zip(edge[::2], edge[1::2]):  # white space beside a word that stays stays
+        gone[begin[a] : end[b - 1]] = True
+    for k in np.flatnonzero(whole):
+        if words[first[k] : first[k + 1]].all():
+            gone[lines[k] : lines[k + 1]] = True
     return "".join(c for c, g in zip(text, gone) if not g)
 
 

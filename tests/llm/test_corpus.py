@@ -127,6 +127,29 @@ def test_a_shared_passage_goes_at_every_place_of_a_document(spark):
     assert [cleaned[k].count(middle) for k in (1, 2)] == [1, 0] and cleaned[3] == rows[2][1]
 
 
+def test_every_passage_keeps_a_copy(spark):
+    rng = random.Random(22)
+    p, q, r = (prose(rng, 60) for _ in range(3))
+    rows = [(1, f"{prose(rng, 30)} {p} {prose(rng, 30)}", "s"), (2, f"{prose(rng, 30)} {p} {q} {prose(rng, 30)}", "s"), (3, f"{prose(rng, 30)} {q} {prose(rng, 30)}", "s")]
+    # a near copy of a paragraph has a passage that another document has too
+    words = f"{prose(rng, 300)}".split()
+    other = words[:]
+    other[100:130] = prose(rng, 30).split()
+    rows += [(11, " ".join(words), "s"), (12, " ".join(other), "s"), (13, f"{prose(rng, 200)} {' '.join(other[95:150])}", "s"), (14, r, "s"), (15, f"x {r} y", "s")]
+    cleaned = {d["doc_id"]: d["text"] for d in substring_dedup.substring_dedup(table(spark, rows)).collect()}
+    for text in (p, q, " ".join(other[95:150]), r):
+        middle = " ".join(text.split()[10:50])
+        assert sum(t.count(middle) for t in cleaned.values()) == 1
+    assert q in cleaned[2] and p not in cleaned[2] and q not in cleaned[3]
+
+
+def test_cut_text():
+    units = [{"kind": "paragraph", "start": 1, "n_words": 4, "removed": True}, {"kind": "passage", "start": 3, "n_words": 2, "removed": False}]
+    assert substring_dedup._without("a b\nc d e f\ng", units) == "a b\n d e \ng"
+    assert substring_dedup._without("a b\nc d e f\ng", units[:1]) == "a b\ng"
+    assert substring_dedup._without("a b\n\nc d", [{"kind": "passage", "start": 1, "n_words": 2, "removed": True}]) == "a  d"
+
+
 def test_bands_have_high_recall():
     rng = np.random.default_rng(3)
     hits = 0
