@@ -1,6 +1,8 @@
 """Operator 2, substring dedup: paragraph MinHash banding, exact verification, removals by components.
 
-*Paragraphs* are lines of ``MIN_WORDS`` words or more.  Their sets of 5-word shingles get 64 MinHashes in 16 bands of 4:
+*Paragraphs* are lines of ``SHINGLE`` words or more, as they have a shingle, and hard-wrapped lines joined.  A line goes on in the next if both
+aren't blank, and the next one's first word would have made it longer than the longest line of all between two blank ones, and
+that one has ``MAX_WIDTH`` characters at most; of such lines there must be two, as the longest is always one.  Lines that are joined are paragraphs by themselves too.  Their sets of 5-word shingles get 64 MinHashes in 16 bands of 4:
 at Jaccard 0.8 a pair collides in some band with probability 1 - (1 - 0.8**4)**16 = 0.9998, at 0.5 with 0.64.  Equal
 paragraphs are one class; classes that collide are clustered, and within a cluster the exact Jaccard of the
 sorted shingle arrays decides (>= 0.8), in tiles, with bitmap bounds before.
@@ -21,6 +23,8 @@ text) are one document; rows with null doc_id take no part.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,11 +37,14 @@ from cdclens.llm import ngram_join as J
 from cdclens.llm.components import components
 from cdclens.llm.mixing import size as words
 
-MIN_WORDS = 50
 SHINGLE = 5
 PERCENT = 80
 BANDS, ROWS = 16, 4
 WINDOW, KEEP_ONE_OF = 40, 11
+#: Longer lines are not hard-wrapped ones.
+MAX_WIDTH = 200
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_SPACE = " \t\n\r\v\f"
 _U = np.uint64
 _ODD = V._spread(BANDS * ROWS, 11)
 _ADD = V._spread(BANDS * ROWS, 12)
@@ -105,13 +112,46 @@ def passages(docs: DataFrame) -> DataFrame:
     return kept.unionByName(gone).withColumnRenamed("from", "start")
 
 
+def wrapped(lines: list[str]) -> list[tuple[int, int]]:
+    """(first line, number of lines) of the paragraphs that are hard-wrapped over several lines."""
+    out, at = [], 0
+    while at < len(lines):
+        end = at
+        while end < len(lines) and lines[end].strip(_SPACE):
+            end += 1
+        block = [line.strip(_SPACE) for line in lines[at:end]]
+        width = max(map(len, block), default=0)
+        goes_on = [len(a) + 1 + len(_WORD.match(b)[0]) > width for a, b in zip(block, block[1:])] + [False]
+        if sum(goes_on) > 1 and width <= MAX_WIDTH:  # the longest line alone would always go on
+            first = 0
+            for k, on in enumerate(goes_on):
+                if not on:
+                    if k > first:
+                        out.append((at + first, k - first + 1))
+                    first = k + 1
+        at = end + 1
+    return out
+
+
+def _paragraphs(batches):
+    for batch in batches:
+        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            lines = text.split("\n")
+            units = [(k, 1) for k in range(len(lines))] + wrapped(lines)
+            texts = ["\n".join(lines[k : k + n]) for k, n in units]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([doc] * len(units), pa.int64()), pa.array([k for k, _ in units], pa.int32()), pa.array([n for _, n in units], pa.int32()), pa.array(texts, pa.string())], names=["doc_id", "start", "n_lines", "text"]
+            )
+
+
 def paragraphs(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """The same of near-equal paragraphs; start is the line's place, from 0."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("start", "text")).where(words("text") >= MIN_WORDS)
-    named = lines.select(F.xxhash64("doc_id", "start", F.lit("line")).alias("doc_id"), "text")
+    """(unit, doc_id, start, n_lines, n_words) of near-equal paragraphs, start the first line's place, from 0; and (a, b), units that link."""
+    lines = docs.mapInArrow(_paragraphs, "doc_id long, start int, n_lines int, text string").where(words("text") >= shingle)
+    unit = F.xxhash64("doc_id", "start", "n_lines", F.lit("line"))
+    named = lines.select(unit.alias("doc_id"), "text")
     members, links = J.class_links(named, shingle, percent, band_keys)
     comp = S.table(components(links), "step")
-    place = lines.select(F.xxhash64("doc_id", "start", F.lit("line")).alias("unit"), "doc_id", "start", words("text").alias("n_words"))
+    place = lines.select(unit.alias("unit"), "doc_id", "start", "n_lines", words("text").alias("n_words"))
     members = members.select(F.col("doc_id").alias("unit"), "class")
     group = members.join(comp, members["class"] == comp["node"], "left").select("unit", F.coalesce("component", "class").alias("group"))
     group = S.table(group, "step")
@@ -121,21 +161,23 @@ def paragraphs(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, start, n_words, passage_id, first_doc_id, removed): each passage and paragraph that more than one document has."""
+    """(doc_id, kind, start, n_lines, n_words, passage_id, first_doc_id, removed): each passage and paragraph that more than one document has."""
     S.arrow_batches(docs.sparkSession)
     docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     units, links = paragraphs(docs)
     comp = components(links)
-    rows = S.table(units.join(comp, units["unit"] == comp["node"]).select("doc_id", "start", "n_words", F.col("component").alias("passage_id")).distinct(), "step")
-    first = rows.groupBy("passage_id").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last")).where(F.col("last") > F.col("first.doc_id"))
-    rows = rows.join(first, "passage_id").withColumns({"first_doc_id": F.col("first.doc_id"), "removed": F.struct("doc_id", "start") != F.col("first"), "kind": F.lit("paragraph")})
-    cols = ["doc_id", "kind", F.col("start").cast("long").alias("start"), F.col("n_words").cast("long").alias("n_words"), "passage_id", "first_doc_id", "removed"]
-    return passages(docs).withColumn("kind", F.lit("passage")).select(*cols).unionByName(rows.select(*cols))
+    rows = S.table(units.join(comp, units["unit"] == comp["node"]).select("doc_id", "start", "n_lines", "n_words", F.col("component").alias("passage_id")).distinct(), "step")
+    first = rows.groupBy("passage_id").agg(F.min(F.struct("doc_id", "start", -F.col("n_lines"))).alias("first"), F.max("doc_id").alias("last")).where(F.col("last") > F.col("first.doc_id"))
+    # a line of a wrapped paragraph that stays stays with it
+    inside = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("start") + F.col("n_lines") <= F.col("first.start") - F.col("first.col3"))
+    rows = rows.join(first, "passage_id").withColumns({"first_doc_id": F.col("first.doc_id"), "removed": ~inside, "kind": F.lit("paragraph")})
+    cols = ["doc_id", "kind", F.col("start").cast("long").alias("start"), F.col("n_lines").cast("long").alias("n_lines"), F.col("n_words").cast("long").alias("n_words"), "passage_id", "first_doc_id", "removed"]
+    return passages(docs).withColumns({"kind": F.lit("passage"), "n_lines": F.lit(None)}).select(*cols).unionByName(rows.select(*cols))
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """The documents with the removed units' words (passages) and lines (paragraphs) taken out of ``text``, but for words of units that stay."""
-    unit = F.struct("kind", "start", "n_words", "removed")
+    unit = F.struct("kind", "start", "n_lines", "n_words", "removed")
     gone = repeats(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(unit).alias("__units"), F.max("removed").alias("__any")).where("__any").drop("__any")
     out = docs.join(gone, docs["doc_id"].cast("long") == gone["__id"], "left")
     schema = out.select("text").schema
@@ -152,17 +194,16 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
 def _without(text: str | None, units: list[dict] | None) -> str | None:
     if text is None or not units:
         return text
-    import re
-
-    begin, end = (np.array(x, dtype=np.int64) for x in zip(*(m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text))))
+    begin, end = (np.array(x, dtype=np.int64) for x in zip(*(m.span() for m in _WORD.finditer(text))))
     lines = np.append(0, np.cumsum([len(line) + 1 for line in text.split("\n")]))
     first = np.searchsorted(begin, lines)  # each line's first word
     words, whole = np.zeros(len(begin), dtype=bool), np.zeros(len(lines) - 1, dtype=bool)
     for u in sorted(units, key=lambda u: not u["removed"]):  # those that stay come last
         k, passage = u["start"], u["kind"] == "passage"
-        words[slice(k, k + u["n_words"]) if passage else slice(first[k], first[k + 1])] = u["removed"]
+        n = 1 if passage else u.get("n_lines") or 1
+        words[slice(k, k + u["n_words"]) if passage else slice(first[k], first[k + n])] = u["removed"]
         if not passage and u["removed"]:
-            whole[k] = True
+            whole[k : k + n] = True
     gone = np.zeros(len(text) + 1, dtype=bool)
     edge = np.flatnonzero(np.diff(np.concatenate([[False], words, [False]]).astype(np.int8)))
     for a, b in zip(edge[::2], edge[1::2]):  # white space beside a word that stays stays

@@ -150,6 +150,22 @@ def test_cut_text():
     assert substring_dedup._without("a b\n\nc d", [{"kind": "passage", "start": 1, "n_words": 2, "removed": True}]) == "a  d"
 
 
+def test_short_and_wrapped_paragraphs(spark):
+    import textwrap
+
+    rng = random.Random(23)
+    short = prose(rng, 30).split()
+    near = short[:1] + ["edit"] + short[1:]
+    long = prose(rng, 120).split()
+    edited = [w if k not in (40, 80) else "edit" for k, w in enumerate(long)]
+    one, two = textwrap.fill(" ".join(long), 72), textwrap.fill(" ".join(edited), 50)
+    assert substring_dedup.wrapped(f"a b c\n\n{two}\n\nd".split("\n")) == [(2, two.count("\n") + 1)]
+    rows = [(1, " ".join(short), "s"), (2, f"head\n{' '.join(near)}\ntail", "s"), (3, f"top\n\n{one}\n\nrest", "s"), (4, f"{two}\n\nown line", "s"), (5, "four words are few", "s"), (6, "four words are few", "s"), (7, "but five words are enough", "s"), (8, "but five words are enough", "s")]
+    rows += [(9, f"{' '.join(long)}\nother", "s")]
+    cleaned = {r["doc_id"]: r["text"] for r in substring_dedup.substring_dedup(table(spark, rows)).collect()}
+    assert [cleaned[k] for k in range(1, 10)] == [rows[0][1], "head\ntail", rows[2][1], "\nown line", rows[4][1], rows[5][1], rows[6][1], "", "other"]
+
+
 def test_bands_have_high_recall():
     rng = np.random.default_rng(3)
     hits = 0
