@@ -238,7 +238,7 @@ def class_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     one = first.groupBy("class").agg(F.min("id").alias("id"), F.max("n").alias("n"))
     step = F.floor(F.log("n") * (4 / log(100 / percent))).cast("long")  # a quarter of the band within which sets may link
     chosen = S.table(one.join(cluster, one["class"] == cluster["node"]).select("id", "class", "n", "component", step.alias("step")), "step")
-    hint = F.broadcast if chosen.count() <= MAX_BROADCAST else (lambda df: df)
+    hint = lambda df: F.broadcast(df) if df.count() <= MAX_BROADCAST else df
     whole = chosen.groupBy("component").agg(F.count("*").alias("k"), F.sum("n").alias("total")).where((F.col("k") > BLOCK) | (F.col("total") > BLOCK_SHINGLES)).select("component")
     whole = S.table(whole, "step")
     # a block holds classes of one step

@@ -452,6 +452,16 @@ def test_join(spark, rows):
     assert ngram_join.classes(table(spark, [])).count() == 0
 
 
+def test_what_is_dealt_to_many_tiles_is_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "MAX_BROADCAST", 100)
+    words = prose(random.Random(24), 100).split()
+    docs = table(spark, [(k, " ".join([*words[:90], f"own{k}", *words[90:]]), "s") for k in range(40)])
+    _, links = ngram_join.class_links(docs)
+    assert links._jdf.queryExecution().analyzed().toString().count("strategy=broadcast") == 1  # the 40 classes' documents
+    assert len({x for r in links.collect() for x in r}) == 40
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 def test_keys_never_miss_a_pair(percent):
     rng = np.random.default_rng(percent)
