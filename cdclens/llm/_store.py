@@ -1,13 +1,16 @@
-"""Where the operators keep what must outlive an executor: the shared folder of spark.checkpoint.dir."""
+"""Where the operators keep what must outlive an executor: the shared folder of spark.checkpoint.dir.  Names, broadcasts and zips besides."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared(spark: SparkSession, what: str) -> str:
@@ -26,7 +29,9 @@ def table(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = shared(spark, what)
     df.write.option("compression", codec).option("parquet.enable.dictionary", str(codec == "zstd").lower()).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -35,6 +40,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows (about 40 bytes each) of a join side that may be broadcast, unless an operator says otherwise.
+MAX_BROADCAST = 500_000
+
+
+def hint(df: DataFrame, most: int | None = None) -> DataFrame:
+    """To be broadcast if it has few rows; otherwise as it is, to be shuffled.  The rows are counted, so ``df`` should be a written table."""
+    return F.broadcast(df) if df.count() <= (MAX_BROADCAST if most is None else most) else df
+
+
+def names(taken: list[str] | DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores after it as makes it free, whatever the letters' case."""
+    used = {c.lower() for c in (taken if isinstance(taken, list) else taken.columns)}
+    out = []
+    for w in wanted:
+        while w.lower() in used:
+            w += "_"
+        used.add(w.lower())
+        out.append(w)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the folders of written tables that nothing reads any more."""
+    for t in tables:
+        if folder := getattr(t, "folder", None):
+            drop(t.sparkSession, folder)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -68,7 +101,9 @@ def arrow_batches(spark: SparkSession) -> None:
             spark.conf.set(key, value)
     if spark.sparkContext.applicationId not in _shipped:
         root = Path(__file__).resolve().parents[1]
-        to = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
+        folder = tempfile.mkdtemp()  # the driver's own: it serves the file to the executors for as long as it lives
+        atexit.register(shutil.rmtree, folder, True)
+        to = Path(folder) / f"{root.name}.zip"
         with zipfile.ZipFile(to, "w") as z:
             for f in sorted(root.rglob("*.py")):
                 z.write(f, f.relative_to(root.parent))

@@ -12,26 +12,39 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -
     """(node, component): each linked node and the smallest node it reaches.
 
     Alternating large-star and small-star rounds (Kiveris et al. 2014) turn the links into stars around each
-    component's smallest node in about log(n) rounds of one join and two aggregations; the link count never grows.
-    A node with very many links is a minimum, which partial aggregation folds, and a join key, whose rows the join may
-    split.  Each round is a checkpoint in the shared folder.  Nothing is gathered on the driver but a count.
+    component's smallest node in about log(n) rounds of two aggregations and two joins; the link count never grows.
+    A node with very many links is a minimum, which partial aggregation folds, and a join key.  The minima, at most one for each end of a link, are
+    broadcast while links are few; when they are many, the minima are written before they are joined, so that the join may split a key's rows.
+    Rounds are tables in the shared folder, each removed when the next is there.  Nothing is gathered on the driver but a count and a checksum.
     """
     e = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = S.table(e, "step")
+    mark = _mark(e)
     for _ in range(rounds):
+        if not mark[0]:
+            break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: the larger neighbours of u link to the smallest of u and its neighbours
+        few = 2 * mark[0] <= S.MAX_BROADCAST
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-        large = both.join(low, both["u"] == low["c"]).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = F.broadcast(low) if few else S.table(low, "step")
+        large = both.join(low, F.col("u") == F.col("c")).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = S.table(large, "step")
+        S.discard(low)
         # small star: the smaller neighbours of u, and u, link to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
-        joined = large.join(low, large["u"] == low["c"])
+        low = low if few else S.table(low, "step")
+        joined = large.join(F.broadcast(low) if few else low, F.col("u") == F.col("c"))
         small = S.table(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select(F.col("c").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct(), "step")
-        same = small.exceptAll(e).isEmpty() and small.count() == e.count()
-        e = small
-        if same:
+        S.discard(low, large, e)
+        e, before, mark = small, mark, _mark(small)
+        if mark == before:
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _mark(e: DataFrame) -> tuple:
+    """Tells one set of links from another."""
+    return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())

@@ -10,10 +10,14 @@ component.  No link between classes is lost:
     indices at least as far, or the argument holds the other way round).  A key is a whole segment's content, about five
     shingles, so a passage or phrase that many documents share makes hardly any keys.  Sets near a band's upper edge
     also send the next band's keys.
-2.  *Clusters.*  Classes with a key in common form clusters: each links to the one before it on the key, then components.
-    No pairs are formed here, whatever the number of classes on a key.
-3.  *Tiles.*  A large cluster's classes are dealt to blocks by size, of about ``BLOCK`` classes each; a tile is a pair of
-    blocks whose sizes are within the band, or a whole small cluster.  In a tile, bit counts of hashed bitmaps bound each pair's
+2.  *Clusters.*  Classes with a key in common form clusters: each links to the smallest class on the key, then components.
+    No pairs are formed here, whatever the number of classes on a key; the smallest is found by partial aggregation, so that a key that
+    very many classes have is a row a task.
+3.  *Tiles.*  A small cluster is one tile.  A large one's classes are dealt to blocks of about ``BLOCK`` by size.  First each
+    block is a tile by itself, to which ``ANCHORS`` classes of its own and of the next sizes are added: where a cluster is one group of near copies, that
+    links nearly all of it, at a cost in proportion to its classes.  Then blocks are dealt anew, those of one label (what is
+    linked so far) apart from the rest, and a tile is a pair of blocks whose sizes are within the band and that aren't of the same label: so nothing that is
+    joined is compared again, and no pair that is not is left out.  In a tile, bit counts of hashed bitmaps bound each pair's
     intersection from above; pairs that may pass are counted exactly by intersecting sorted arrays.  A tile
     gives a spanning forest of its exact links, so a group of k copies gives k - 1 of them rather than k (k - 1) / 2.
 4.  *Components* of those links, over classes, carried to the documents.
@@ -48,8 +52,8 @@ BLOCK_SHINGLES = 1_000_000
 TRIES = 8
 #: Bits of a signature.
 BITS = 1024
-#: Rows (about 40 bytes each) of a join side that may be broadcast.
-MAX_BROADCAST = 500_000
+#: Classes of each size step of a large cluster that its blocks are held against first.
+ANCHORS = 8
 _U = np.uint64
 
 
@@ -114,7 +118,7 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def _first_pass(n: int, percent: int, keys_of=keys):
+def _first_pass(n: int, percent: int):
     """A batch's rows with size, class, keys and links.  A key that several rows of the batch have stays with the first,
     to which the others link, so a key that very many documents have leaves a batch once."""
 
@@ -124,7 +128,7 @@ def _first_pass(n: int, percent: int, keys_of=keys):
             for _, s in _sets(batch.column("text"), n):
                 size.append(len(s))
                 sig.append(_signature(s))
-                key.append(keys_of(s, percent) if len(s) else s)
+                key.append(keys(s, percent) if len(s) else s)
             sig = np.array(sig, dtype=_U)
             counts = np.array([len(k) for k in key], dtype=np.int64)
             flat = np.concatenate(key) if key else np.zeros(0, dtype=_U)
@@ -152,7 +156,7 @@ def _second_pass(n: int):
         for batch in batches:
             sets = [s for _, s in _sets(batch.column("text"), n)]
             sig = np.array([_signature(s) for s in sets], dtype=_U)
-            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "n", "set"])
 
     return of
 
@@ -164,12 +168,13 @@ def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(out, axis=1).view(_U)
 
 
-def tile_links(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the exact links among ``left`` (``right`` empty) or between the two sides; places count on from left to right."""
+def tile_links(left: list[np.ndarray], right: list[np.ndarray], percent: int, labels: list[int] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the exact links among ``left`` (``right`` empty) or between the two sides, of what has not the
+    same label yet; places count on from left to right."""
     sets = left + right
     n = np.array([len(s) for s in sets], dtype=np.int64)
     bits = bitmaps(sets)
-    label = np.arange(len(sets))
+    label = np.arange(len(sets)) if labels is None else np.unique(np.array(labels, dtype=np.int64), return_inverse=True)[1]
     forest: list[tuple[int, int]] = []
     for a in range(len(left)):
         other = np.arange(len(left), len(sets)) if right else np.arange(a + 1, len(sets))
@@ -200,14 +205,15 @@ def _tiles(percent: int):
         diagonal = rows[0][1] == rows[0][2]
         left = [r for r in rows if r[3] == rows[0][1]] if not diagonal else rows
         right = [] if diagonal else [r for r in rows if r[3] != rows[0][1]]
-        named = [r[4] for r in left + right]
-        forest = tile_links([np.frombuffer(r[5], dtype=_U) for r in left], [np.frombuffer(r[5], dtype=_U) for r in right], percent) if diagonal or (left and right) else []
-        return pa.RecordBatch.from_arrays([pa.array([named[x] for x, _ in forest], pa.int64()), pa.array([named[y] for _, y in forest], pa.int64())], names=["a", "b"])
+        both = left + right
+        sets = [np.frombuffer(r[5], dtype=_U) for r in both]
+        forest = tile_links(sets[: len(left)], sets[len(left) :], percent, [r[6] for r in both]) if diagonal or (left and right) else []
+        return pa.RecordBatch.from_arrays([pa.array([both[x][4] for x, _ in forest], pa.int64()), pa.array([both[y][4] for _, y in forest], pa.int64())], names=["a", "b"])
 
     def of(batches):
         rows: list = []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("component", "left", "right", "block", "class", "set"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("component", "left", "right", "block", "class", "set", "label"))):
                 if rows and rows[0][:3] != row[:3]:
                     yield links(rows)
                     rows = []
@@ -224,39 +230,107 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "text", F.col("doc_id").isNull(), F.col("text").isNull()).alias("id")
 
 
-def class_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, keys_of=keys) -> tuple[DataFrame, DataFrame]:
-    """(id, doc_id, n, class) of each row, and (a, b), classes that link: enough of them to keep all components.
-    ``keys_of(set, percent)``: a set's keys; sets without one in common are not compared."""
-    spark = docs.sparkSession
-    S.arrow_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key())
-    first = S.table(docs.mapInArrow(_first_pass(shingle, percent, keys_of), "id long, doc_id long, n int, class long, keys array<long>, links array<long>"), "ngram-keys", "uncompressed")
-    chain = first.select(F.explode("keys").alias("key"), "class").withColumn("b", F.lag("class").over(Window.partitionBy("key").orderBy("class"))).where("b <> class")
-    near = chain.select(F.col("class").alias("a"), "b").union(first.select(F.col("class").alias("a"), F.explode("links").alias("b"))).distinct()
-    cluster = S.table(components(near), "step")
-    # one document of each class in a cluster, whatever its number of copies; all is dealt out before any set is made
-    one = first.groupBy("class").agg(F.min("id").alias("id"), F.max("n").alias("n"))
+_TILE = ["component", "left", "right"]
+
+
+def _compared(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links of the tiles.  ``dealt``: component, left, right, block, label, class, a row for each tile a class is in."""
+    rows = sets.select(F.col("class").alias("of"), "set").join(S.hint(dealt), F.col("of") == F.col("class")).select(*_TILE, "block", "label", "class", "set")
+    rows = rows.repartition(*_TILE).sortWithinPartitions(*_TILE, "block", "class")
+    return S.table(rows.mapInArrow(_tiles(percent), "a long, b long"), "step")
+
+
+def _blocks(chosen: DataFrame, by: list[str]) -> DataFrame:
+    """by, k, total, least, most, blocks: into how many blocks the classes of a component's part go."""
+    parts = chosen.groupBy(*by).agg(F.count("*").alias("k"), F.sum("n").alias("total"), F.min("n").cast("long").alias("least"), F.max("n").cast("long").alias("most"))
+    return parts.withColumn("blocks", F.ceil(F.greatest(F.col("k") / BLOCK, F.col("total") / BLOCK_SHINGLES)))
+
+
+def linked(chosen: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): enough exact links among classes (``chosen``: class, n, component) that share a component to keep all of what they connect."""
+    zero = F.lit(0).cast("long")
     step = F.floor(F.log("n") * (4 / log(100 / percent))).cast("long")  # a quarter of the band within which sets may link
-    chosen = S.table(one.join(cluster, one["class"] == cluster["node"]).select("id", "class", "n", "component", step.alias("step")), "step")
-    hint = lambda df: F.broadcast(df) if df.count() <= MAX_BROADCAST else df
+    chosen = chosen.withColumn("step", step)
     whole = chosen.groupBy("component").agg(F.count("*").alias("k"), F.sum("n").alias("total")).where((F.col("k") > BLOCK) | (F.col("total") > BLOCK_SHINGLES)).select("component")
     whole = S.table(whole, "step")
-    # a block holds classes of one step
-    steps = chosen.join(whole, "component").groupBy("component", "step").agg(F.count("*").alias("k"), F.sum("n").alias("total"), F.min("n").alias("least"), F.max("n").alias("most"))
-    steps = S.table(steps.withColumn("blocks", F.ceil(F.greatest(F.col("k") / BLOCK, F.col("total") / BLOCK_SHINGLES))), "step")
-    blocks = steps.withColumn("r", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select("component", (F.col("step") * (1 << 40) + F.col("r")).alias("block"), "least", "most")
-    partner = blocks.select(F.col("component").alias("c2"), F.col("block").alias("right"), F.col("least").alias("least2"))
-    tiles = S.table(blocks.join(partner, (F.col("component") == F.col("c2")) & (F.col("right") >= F.col("block")) & (100 * F.col("most").cast("long") >= percent * F.col("least2"))).select("component", F.col("block").alias("left"), "right"), "step")
-    sides = tiles.select("component", "left", "right", F.col("left").alias("block")).union(tiles.where("left <> right").select("component", "left", "right", F.col("right").alias("block")))
-    large = chosen.join(steps.select("component", "step", "blocks"), ["component", "step"]).withColumn("block", F.col("step") * (1 << 40) + F.pmod(F.xxhash64("class"), F.col("blocks"))).join(sides, ["component", "block"])
-    zero = F.lit(0).cast("long")
-    small = chosen.join(whole, "component", "left_anti").withColumns({"left": zero, "right": zero, "block": zero})
-    cols = ["class", "component", "left", "right", "block"]
-    dealt = S.table(small.select(*cols).union(large.select(*cols)), "step").withColumnRenamed("class", "of")
-    sets = docs.join(hint(chosen.select("id")), "id").select("text").mapInArrow(_second_pass(shingle), "class long, set binary")
-    sets = sets.join(hint(dealt), F.col("class") == F.col("of")).drop("of")
-    sets = sets.repartition("component", "left", "right").sortWithinPartitions("component", "left", "right", "block", "class")
-    return first.select("id", "doc_id", "n", "class"), sets.mapInArrow(_tiles(percent), "a long, b long")
+    small = chosen.join(S.hint(whole), "component", "left_anti").select("component", zero.alias("left"), zero.alias("right"), zero.alias("block"), F.col("class").alias("label"), "class")
+    small = S.table(small, "step")
+    out = _compared(small, sets, percent)
+    S.discard(small)
+    if not whole.isEmpty():
+        large = S.table(chosen.join(S.hint(whole), "component"), "step")
+        first = S.table(_anchored(large, percent), "step")
+        near = _compared(first, sets, percent)
+        S.discard(first)
+        label = S.table(components(near), "step")
+        large = large.join(label.select("node", F.col("component").alias("label")), F.col("class") == F.col("node"), "left").select("component", "class", "n", "step", F.coalesce("label", "class").alias("label"))
+        large = S.table(large, "step")
+        second = S.table(_across(large, percent), "step")
+        out = out.union(near).union(_compared(second, sets, percent))
+        S.discard(label, large, second)
+    S.discard(whole)
+    return out
+
+
+def _anchored(large: DataFrame, percent: int) -> DataFrame:
+    """Each block with itself and with the anchors of its size step and the four next, which is how far links reach."""
+    steps = _blocks(large, ["component", "step"])
+    turn = Window.partitionBy("component", "step").orderBy("class")
+    least = large.groupBy("component", "step", F.pmod(F.xxhash64("class"), F.lit(64)).alias("p")).agg(F.min("class").alias("class"))  # at most 64 a step
+    anchors = least.withColumn("r", F.row_number().over(turn)).where(F.col("r") <= ANCHORS).select("component", F.col("step").alias("own"), "class")
+    steps = S.table(steps.select("component", "step", "blocks"), "step")
+    at = F.col("step") * (1 << 40)
+    dealt = large.join(S.hint(steps), ["component", "step"]).select("component", (at + F.pmod(F.xxhash64("class", F.lit(1)), F.col("blocks"))).alias("block"), "class")
+    spread = anchors.select("component", "class", F.explode(F.sequence(F.col("own") - 4, F.col("own"))).alias("step")).join(steps, ["component", "step"])
+    spread = spread.select("component", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("r"), "step", "class").select("component", (at + F.col("r")).alias("block"), "class")
+    both = dealt.union(spread).distinct()
+    return both.select("component", F.col("block").alias("left"), F.col("block").alias("right"), "block", F.col("class").alias("label"), "class")
+
+
+def _across(large: DataFrame, percent: int) -> DataFrame:
+    """Pairs of blocks of different labels.  Labels of many classes have blocks of their own, the others share some (``lab`` null)."""
+    many = large.groupBy("component", "step", "label").agg(F.count("*").alias("k")).where(F.col("k") >= BLOCK // 8).select("component", "step", F.col("label").alias("lab"))
+    many = S.table(many, "step")
+    rows = large.alias("l").join(S.hint(many).alias("m"), (F.col("l.component") == F.col("m.component")) & (F.col("l.step") == F.col("m.step")) & (F.col("l.label") == F.col("m.lab")), "left").select("l.*", "m.lab")
+    part = ["component", "step", "lab"]
+    parts = S.table(_blocks(rows, part), "step")
+    name = lambda r: F.xxhash64("step", "lab", F.col("lab").isNull(), r)
+    blocks = parts.withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("component", "lab", "step", name(F.col("r")).alias("block"), "least", "most")
+    # a link's sizes are at most four steps apart (one more for rounding), so that is an equi-join on the step
+    near = blocks.withColumn("step", F.explode(F.sequence(F.col("step"), F.col("step") + 5)))
+    a, b = near.alias("a"), blocks.alias("b")
+    apart = F.col("a.lab").isNull() | F.col("b.lab").isNull() | (F.col("a.lab") != F.col("b.lab"))
+    within = (100 * F.col("a.most") >= percent * F.col("b.least")) & (100 * F.col("b.most") >= percent * F.col("a.least"))
+    on = (F.col("a.component") == F.col("b.component")) & (F.col("a.step") == F.col("b.step")) & apart & within
+    tiles = a.join(b, on).select(F.col("a.component").alias("component"), F.least("a.block", "b.block").alias("left"), F.greatest("a.block", "b.block").alias("right")).distinct()
+    tiles = S.table(tiles, "step")
+    sides = tiles.select(*_TILE, F.col("left").alias("block")).union(tiles.where("left <> right").select(*_TILE, F.col("right").alias("block")))
+    rows = rows.alias("l").join(S.hint(parts).alias("p"), (F.col("l.component") == F.col("p.component")) & (F.col("l.step") == F.col("p.step")) & F.col("l.lab").eqNullSafe(F.col("p.lab"))).select("l.*", "p.blocks")
+    dealt = rows.withColumn("block", name(F.pmod(F.xxhash64("class", F.lit(2)), F.col("blocks")))).join(S.hint(S.table(sides, "step")), ["component", "block"])
+    return dealt.select(*_TILE, "block", "label", "class")
+
+
+def candidates(first: DataFrame) -> DataFrame:
+    """(a, b): each class on a key and the smallest on it, from rows of (class, keys, links)."""
+    keyed = first.select(F.explode("keys").alias("key"), "class")
+    shared = S.table(keyed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key", "low"), "step")
+    near = keyed.join(S.hint(shared), "key").where("class <> low").select(F.col("class").alias("a"), F.col("low").alias("b"))
+    return near.union(first.select(F.col("class").alias("a"), F.explode("links").alias("b"))).distinct()
+
+
+def class_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(id, doc_id, n, class) of each row, and (a, b), classes that link: enough of them to keep all components."""
+    S.arrow_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key())
+    first = S.table(docs.mapInArrow(_first_pass(shingle, percent), "id long, doc_id long, n int, class long, keys array<long>, links array<long>"), "ngram-keys", "uncompressed")
+    cluster = S.table(components(candidates(first)), "step")
+    # one document of each class in a cluster, whatever its number of copies
+    one = first.groupBy("class").agg(F.min("id").alias("id"), F.max("n").alias("n"))
+    chosen = S.table(one.join(S.hint(cluster), one["class"] == cluster["node"]).select("id", "class", "n", "component"), "step")
+    sets = S.table(docs.join(S.hint(chosen.select("id")), "id").select("text").mapInArrow(_second_pass(shingle), "class long, n int, set binary"), "step", "uncompressed")
+    links = linked(chosen.drop("id"), sets, percent)
+    S.discard(cluster, chosen, sets)
+    return first.select("id", "doc_id", "n", "class"), links
 
 
 def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -265,8 +339,11 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     comp = components(links)
     # the smallest doc_id of each component, by way of its classes' smallest
     lowest = members.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("low"))
-    lowest = lowest.join(comp, lowest["class"] == comp["node"], "left").select("class", "low", F.coalesce("component", "class").alias("component"))
-    named = S.table(lowest.join(lowest.groupBy("component").agg(F.min("low").alias("component_id")), "component").select(F.col("class").alias("class_"), "component", "component_id"), "step")
+    comp = S.table(comp, "step")
+    lowest = S.table(lowest.join(S.hint(comp), lowest["class"] == comp["node"], "left").select("class", "low", F.coalesce("component", "class").alias("component")), "step")
+    named = lowest.join(lowest.groupBy("component").agg(F.min("low").alias("component_id")), "component")
+    named = S.table(named.select(F.col("class").alias("class_"), "component", "component_id"), "step")
+    S.discard(comp, lowest)
     # a class with very many copies is a hot key of this join, whose rows the join may split
     out = members.join(named, (members["class"] == F.col("class_")) & (members["n"] > 0), "left")
     return out.select("id", "doc_id", F.col("n").cast("long").alias("n_shingles"), "class", "component", F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -277,16 +354,15 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     Of equal rows (same doc_id and text) one stays."""
     found = S.table(classes(docs, shingle, percent).select("id", "doc_id", "component", "n_shingles"), "ngram-classes")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")
-    first = found.where("component is not null").groupBy("component").agg(F.min(order)["id"].alias("first"))
-    gone = found.join(first, "component").where("id <> first").select(F.col("id").alias("__id")).distinct()
-    own = "__row"
+    first = S.table(found.where("component is not null").groupBy("component").agg(F.min(order)["id"].alias("first")), "step")
+    own, id_ = S.names(docs, "row", "id")
+    gone = S.table(found.join(S.hint(first), "component").where("id <> first").select(F.col("id").alias(id_)).distinct(), "step")
     keyed = docs.withColumn(own, row_key())
-    few = gone.count() <= MAX_BROADCAST
-    kept = keyed.join(F.broadcast(gone) if few else gone, F.col(own) == F.col("__id"), "left_anti")
-    again = S.table(found.groupBy("id").count().where("count > 1").select(F.col("id").alias("__id")), "step")
+    kept = keyed.join(S.hint(gone), F.col(own) == F.col(id_), "left_anti")
+    again = S.table(found.groupBy("id").count().where("count > 1").select(F.col("id").alias(id_)), "step")
     if not again.isEmpty():
-        twice = kept.join(again, F.col(own) == F.col("__id"), "left_semi").dropDuplicates([own])
-        kept = kept.join(again, F.col(own) == F.col("__id"), "left_anti").unionByName(twice)
+        twice = kept.join(again, F.col(own) == F.col(id_), "left_semi").dropDuplicates([own])
+        kept = kept.join(again, F.col(own) == F.col(id_), "left_anti").unionByName(twice)
     return kept.drop(own)
 
 
