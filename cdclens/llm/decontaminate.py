@@ -68,7 +68,7 @@ def _hits(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
     g = min(n, GRAM)
     reach = n - g
     grams = items.withColumn("p", _padded(F.col("w"), "\x01", reach)).select("item_id", F.explode(_grams(n, g, 1)).alias("t")).select("item_id", "t.key", F.col("t.around").alias("theirs"))
-    grams = F.broadcast(grams) if grams.count() <= MAX_BROADCAST else grams
+    grams = S.hint(grams, MAX_BROADCAST)
     ours = docs.withColumn("p", _padded(F.col("w"), "\x02", reach)).select("key1", "key2", F.explode(_grams(n, g, reach + 1)).alias("t"))
     found = ours.select("key1", "key2", "t.at", "t.key", F.col("t.around").alias("ours")).join(grams, "key").where(F.slice("ours", reach + 1, g) == F.slice("theirs", reach + 1, g))
     starts = F.filter(F.sequence(F.lit(0), F.lit(reach)), lambda s: F.slice("ours", s + 1, F.lit(n)) == F.slice("theirs", s + 1, F.lit(n)))
@@ -77,7 +77,7 @@ def _hits(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """(key1, key2, item_id, start, n) of every window that occurs in a document; the keys are ``_keys`` of its row."""
-    items = benchmark.select("item_id", words("text").alias("w")).where(F.size("w") > 0).repartition(1)
+    items = S.table(benchmark.select("item_id", words("text").alias("w")).where(F.size("w") > 0), "benchmark-words")
     lengths = sorted(r[0] for r in items.select(F.least(F.size("w"), F.lit(n)).alias("n")).distinct().collect())
     texts = docs.select(*_keys(docs), words("text").alias("w"))
     out = None
@@ -112,30 +112,29 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document", n: int = N) -> DataFrame:
-    """The documents without those that hold a window (``document``), or with every hit word and what stands between
-    hit words replaced by one space (``span``).  Columns and other rows stay as they are."""
-    own = [f"__k{i}" for i in (1, 2)]
+    """The documents without those that hold a window (``document``), or with hit words taken out of ``text`` (``span``): of each
+    run of hit words, the words and what stands between them go; what stands before the first and after the last stays.
+    Columns, whatever their names, and other rows stay as they are.  Keys of what is hit go to the texts while they are few."""
+    *own, at_ = S.names(docs, "key1", "key2", "at")
     keyed = docs.select("*", *(k.alias(o) for k, o in zip(_keys(docs), own)))
     hits = occurrences(docs, benchmark, n)
     named = [F.col(k).alias(o) for k, o in zip(("key1", "key2"), own)]
     if mode == "document":
-        return keyed.join(hits.select(*named).distinct(), own, "left_anti").drop(*own)
-    at = hits.select(*named, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("at")).distinct().groupBy(*own).agg(F.collect_set("at").alias("__at"))
+        bad = S.table(hits.select(*named).distinct(), "benchmark-hits")
+        return keyed.join(S.hint(bad), own, "left_anti").drop(*own)
+    at = hits.select(*named, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias(at_)).distinct().groupBy(*own).agg(F.collect_set(at_).alias(at_))
+    at = S.table(at, "benchmark-hits")
+    few = (at.agg(F.sum(F.size(at_) + 4)).first()[0] or 0) <= S.MAX_BROADCAST
     text = F.col("text")
-    w = F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(f"({WORD})"), F.lit(1))
-    between = F.split(text, WORD)
-    kept = F.regexp_extract_all(text, F.lit(r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"), F.lit(1))
-    between = F.split(text, r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-    hit = lambda i: F.array_contains("__at", i)
+    letters = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # a word before A-Z are lower-cased
+    kept, between = F.regexp_extract_all(text, F.lit(f"({letters})"), F.lit(1)), F.split(text, letters)
+    hit = lambda i: F.array_contains(at_, i)
     pieces = F.transform(
-        F.sequence(F.lit(0), F.size(w) - 1),
-        lambda i: F.concat(
-            F.when(hit(i) & hit(i - 1), F.lit("")).when(hit(i) | (hit(i - 1) & (i > 0)), F.lit(" ")).otherwise(F.get(between, i)),
-            F.when(hit(i), F.lit("")).otherwise(F.get(kept, i)),
-        ),
+        F.sequence(F.lit(0), F.size(kept) - 1),
+        lambda i: F.concat(F.when(hit(i) & hit(i - 1), F.lit("")).otherwise(F.get(between, i)), F.when(hit(i), F.lit("")).otherwise(F.get(kept, i))),
     )
-    cleaned = F.trim(F.concat(F.array_join(pieces, ""), F.get(between, F.size(w))))
-    return keyed.join(at, own, "left").withColumn("text", F.when(F.col("__at").isNull(), text).otherwise(cleaned)).drop(*own, "__at").select(*docs.columns)
+    cleaned = F.concat(F.array_join(pieces, ""), F.get(between, F.size(kept)))
+    return keyed.join(F.broadcast(at) if few else at, own, "left").withColumn("text", F.when(F.col(at_).isNull(), text).otherwise(cleaned)).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

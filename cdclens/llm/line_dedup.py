@@ -47,16 +47,16 @@ def removals(docs: DataFrame) -> DataFrame:
 
 def line_dedup(docs: DataFrame, removed: str | None = None) -> DataFrame:
     """The documents with the repeated lines taken out of ``text``; ``removed`` names a column for their number."""
-    own = ["__key1", "__key2"]
-    gone = S.table(removals(docs), "line-removals").select(F.col("key1").alias(own[0]), F.col("key2").alias(own[1]), F.col("gone").alias("__gone"))
+    *own, gone_ = S.names([*docs.columns, *([removed] if removed else [])], "key1", "key2", "gone")
+    gone = S.table(removals(docs), "line-removals").select(F.col("key1").alias(own[0]), F.col("key2").alias(own[1]), F.col("gone").alias(gone_))
     # few removals go to the texts; with more, both sides are shuffled
-    gone = F.broadcast(gone) if (gone.agg(F.sum(F.size("__gone") + 8)).first()[0] or 0) <= MAX_BROADCAST else gone
+    gone = F.broadcast(gone) if (gone.agg(F.sum(F.size(gone_) + 8)).first()[0] or 0) <= MAX_BROADCAST else gone
     keyed = docs.select("*", *(k.alias(o) for k, o in zip(_row_keys(), own))).join(gone, own, "left")
     lines = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("__gone", i)), "\n")
-    out = keyed.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))
+    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(gone_, i)), "\n")
+    out = keyed.withColumn("text", F.when(F.col(gone_).isNull(), F.col("text")).otherwise(kept))
     if removed:
-        out = out.withColumn(removed, F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
+        out = out.withColumn(removed, F.coalesce(F.size(gone_), F.lit(0)).cast("long"))
     return out.select(*docs.columns, *([removed] if removed else []))
 
 

@@ -166,13 +166,25 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MO
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
-    """The mixed corpus: each row as often as it is taken, with the columns of the documents."""
+    """The mixed corpus: each row as often as it is taken, with the columns of the documents, whatever their names.  Rows of equal doc_id, text and source
+    stand for each other: one is taken as often as all of them together.
+
+    Texts are not shuffled while the keys of those that are taken another number of times than most of their source are few: a source's usual number goes
+    to its rows by source, and the others' by key."""
+    key, of, times, n, many = S.names(docs, "key", "of", "times", "n", "many")
     none = F.struct(F.col("doc_id").isNull(), F.col("text").isNull(), F.col("source").isNull())
-    taken = copies(docs, weights, most).groupBy("key").agg(F.sort_array(F.collect_list("copies")).alias("__copies"))
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "source", "text", none)).join(taken.withColumnRenamed("key", "__key"), "__key")
-    nth = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
-    keyed = keyed.withColumn("__n", F.when(F.size("__copies") == 1, F.col("__copies")[0]).otherwise(F.get("__copies", nth - 1)))
-    return keyed.where(F.col("__n") > 0).withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*docs.columns)
+    taken = S.table(copies(docs, weights, most).groupBy("key", "source").agg(F.sum("copies").cast("int").alias("times"), F.count("*").alias("rows")), "mix-copies")
+    usual = taken.groupBy("source", "times").agg(F.count("*").alias("k")).groupBy("source").agg(F.max_by("times", F.struct("k", "times")).alias(n))  # a row a source
+    usual = S.table(usual.withColumnRenamed("source", of), "step")
+    other = taken.join(S.hint(usual), F.col("source").eqNullSafe(F.col(of))).where((F.col("times") != F.col(n)) | (F.col("rows") > 1))
+    other = S.table(other.select(F.col("key").alias(key), F.col("times").alias(times), (F.col("rows") > 1).alias(many)), "step")
+    own, mine = S.names([*docs.columns, key, of, times, n, many], "own", "mine")
+    keyed = docs.withColumn(own, F.xxhash64("doc_id", "source", "text", none)).join(S.hint(usual), F.col("source").eqNullSafe(F.col(of)), "left")
+    keyed = keyed.join(S.hint(other, 2 * S.MAX_BROADCAST), F.col(own) == F.col(key), "left").withColumn(mine, F.coalesce(times, n))
+    if not other.where(many).isEmpty():
+        equal = F.coalesce(F.col(many), F.lit(False))
+        keyed = keyed.where(~equal).unionByName(keyed.where(equal).dropDuplicates([own]))
+    return keyed.where(F.col(mine) > 0).withColumn(own, F.explode(F.sequence(F.lit(1), F.col(mine)))).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ rewritten alone if its writer is lost.  Layout, little-endian:
 Decoding looks each control byte up in a 256 x 4 table of lengths.
 
 Encoding is the tokenizers library's, once for each distinct piece of text: pieces are cut at ASCII white space and between ASCII
-letters and ASCII signs other than the apostrophe, where the tokenizer always cuts, and a worker keeps the ids of pieces it has seen.
+letters and ASCII signs other than the apostrophe, where the tokenizer always cuts, and a worker keeps the ids of pieces it has seen, by two
+64-bit hashes with tables of their own; where the first is equal and the second is not, the texts at hand are encoded whole.
 
 Defined cases: a null text is the empty one, whose only id is the end's; equal doc_ids follow each other by text hash; a null
 doc_id comes last; texts with a special token's string are encoded whole; an empty table makes no file.
@@ -44,6 +45,8 @@ _LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(2
 _LETTER = V.byte_set((0x41, 0x5A), (0x61, 0x7A))
 _SIGN = V.byte_set((0x21, 0x26), (0x28, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
 _HIGH = V.byte_set((0x80, 0xFF))
+_OTHER = V._spread(256, 8)
+_OTHER_LOWER = _OTHER[V._LOWER]
 
 
 class Encoder:
@@ -67,10 +70,11 @@ class Encoder:
 
     def _clear(self) -> None:
         self.place: dict[int, int] = {}
+        self.second = np.zeros(1 << 14, dtype=_U)
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
         self.ends = np.zeros(1 << 14, dtype=np.int64)
 
-    def _learn(self, hashes: list[int], pieces: list[bytes]) -> None:
+    def _learn(self, hashes: list[int], second: np.ndarray, pieces: list[bytes]) -> None:
         for at in range(0, len(pieces), 4000):
             some = [p.decode() for p in pieces[at : at + 4000]]
             if any(self.mark in p for p in some):
@@ -81,18 +85,20 @@ class Encoder:
                 parts = [p if not k else p[1:] for k, p in enumerate(np.split(ids, marks))]
                 if len(parts) != len(some):
                     parts = [np.array(self._ids(p), dtype=np.uint32) for p in some]
-            for h, p in zip(hashes[at : at + 4000], parts):
+            for h, other, p in zip(hashes[at : at + 4000], second[at : at + 4000], parts):
                 k = len(self.place)
                 begin = self.ends[k - 1] if k else 0
                 if begin + len(p) > len(self.flat):
                     self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + len(p), dtype=np.uint32)])
                 if k >= len(self.ends):
                     self.ends = np.concatenate([self.ends, np.zeros(len(self.ends), dtype=np.int64)])
+                    self.second = np.concatenate([self.second, np.zeros(len(self.second), dtype=_U)])
                 self.flat[begin : begin + len(p)] = p
                 self.ends[k] = begin + len(p)
                 self.place[h] = k
+                self.second[k] = other
 
-    def _pieces(self, sub: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _pieces(self, sub: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         w = V.NOT_SPACE[sub]
         letter, sign = _LETTER[sub], _SIGN[sub]
         edge = np.ones(len(sub) + 1, dtype=bool)
@@ -106,7 +112,14 @@ class Encoder:
         h = V.span_hashes(sub, s, e, lower=True)
         if not plain.all():  # letters beyond ASCII may compose with a capital in another way than with a small letter
             h[~plain] = V.span_hashes(sub, s[~plain], e[~plain], lower=False) ^ _U(0x5555)
-        return s, e, h
+        power, inverse = V._tables(len(sub) + 1)
+        total = np.zeros(len(sub) + 1, dtype=_U)
+        np.cumsum(_OTHER_LOWER[sub] * power[: len(sub)], out=total[1:])
+        second = (total[e] - total[s]) * inverse[s]
+        if not plain.all():
+            np.cumsum(_OTHER[sub] * power[: len(sub)], out=total[1:])
+            second[~plain] = ((total[e] - total[s]) * inverse[s])[~plain] ^ _U(0x5555)
+        return s, e, h, second
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end's id; number of ids of each)."""
@@ -124,6 +137,8 @@ class Encoder:
         for a, b, at, to, whole in V.slices(data, off, V.NOT_SPACE):
             sub = data[at:to]
             part = b - a == 1 and not (off[a] == at and whole)
+            if part and at == off[a]:
+                begun = len(out)
             if special[a:b].any():
                 if part and at != off[a]:
                     continue  # the first part has stood for the whole
@@ -132,15 +147,23 @@ class Encoder:
                 counts[a:b] = [len(i) for i in ids]
                 continue
             starts = np.zeros(1, dtype=np.int64) if part else off[a:b] - at
-            s, e, h = self._pieces(sub, starts) if len(sub) else (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0, dtype=_U),)
+            s, e, h, second = self._pieces(sub, starts) if len(sub) else (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0, dtype=_U),) * 2
             u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
             if len(self.place) > _CACHE:
                 self._clear()
             keys = u.tolist()
             k = np.fromiter((self.place.get(x, -1) for x in keys), dtype=np.int64, count=len(keys))
             new = np.flatnonzero(k < 0)
+            if (second != second[first][inverse]).any() or (self.second[k[k >= 0]] != second[first][k >= 0]).any():
+                if part:  # whatever the parts before have given
+                    del out[begun:]
+                    special[a] = True
+                ids = [np.append(np.array(self._ids(bytes(data[off[d] : off[d + 1]]).decode()), dtype=np.uint32), np.uint32(END)) for d in range(a, b)]
+                out += ids
+                counts[a:b] = [len(i) for i in ids]
+                continue
             if len(new):
-                self._learn([keys[i] for i in new], [sub[s[first[i]] : e[first[i]]].tobytes() for i in new])
+                self._learn([keys[i] for i in new], second[first[new]], [sub[s[first[i]] : e[first[i]]].tobytes() for i in new])
                 k[new] = [self.place[keys[i]] for i in new]
             begin = np.where(k > 0, self.ends[k - 1], 0)
             size = self.ends[k] - begin

@@ -5,9 +5,11 @@ Confirmed toxic examples and unlabelled text train a linear model on hashed word
 unseen negatives, and while it is below zero the step goes the other way, so that the model can't drive it there.
 The class prior is the share of label 1 among the rows that may be learned from.
 
-Both samples are bounded (``max_positive``, ``max_unlabelled``).  Feature counts are made on the executors; the
-driver gets the features whose prior-corrected precision ``prior * P(f|toxic) / P(f)`` reaches a half, with enough
-support, and which example has which of those.  Scoring reads every whole text.
+Both example sets are bounded samples of labelled rows (``max_positive`` of the toxic ones; ``max_unlabelled`` of all, whose labels are not
+looked at, so that their mixture has the prior).  Which features count is decided by all documents that may be read: P(f) comes from one aggregation over all of
+them, by hashed feature.  The driver gets the features, 2**bits at most, whose prior-corrected precision
+``prior * P(f|toxic) / P(f)`` reaches a half and that ``MIN_SUPPORT`` toxic examples have, far more than chance would give, and which example has which of those.
+Scoring reads every whole text.
 
 Defined cases: a null text scores as an empty one; a null label is none; a document labelled repeatedly counts
 once, as toxic if any row says so; without a toxic example every score is the prior (0 without labels); equal
@@ -29,7 +31,8 @@ from cdclens.llm.quality import fold, labelled
 
 MAX_POSITIVE = 2500
 MAX_UNLABELLED = 10000
-MAX_FEATURES = 20000
+#: Toxic examples that a feature must occur in.
+MIN_SUPPORT = 3
 BITS = 20
 
 
@@ -53,6 +56,23 @@ def _examples(bits: int):
     return of
 
 
+def _counts(bits: int):
+    """A partition's (feature, documents that have it) and, as feature -1, its documents."""
+
+    def of(batches):
+        total, n = np.zeros(1 << bits, dtype=np.int64), 0
+        for batch in batches:
+            n += batch.num_rows
+            for _, _, ids, _ in H.presence_features(batch.column("text"), bits):
+                total += np.bincount(ids, minlength=1 << bits)
+        at = np.flatnonzero(total)
+        rows = pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(total[at], n))], names=["feature", "k"])
+        for k in range(0, rows.num_rows, 65536):
+            yield rows.slice(k, 65536)
+
+    return of
+
+
 def fit(positive: tuple[np.ndarray, np.ndarray, int], unlabelled: tuple[np.ndarray, np.ndarray, int], n_features: int, prior: float, steps: int = 300, rate: float = 0.1, l1: float = 0.001) -> tuple[np.ndarray, float]:
     """Weights and bias.  An example set is (example of each entry, feature of each entry, number of examples)."""
     (pd, pf, np_), (ud, uf, nu) = positive, unlabelled
@@ -76,7 +96,7 @@ def fit(positive: tuple[np.ndarray, np.ndarray, int], unlabelled: tuple[np.ndarr
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, may_read: Column | None = None, label: str = "toxic", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, bits: int = BITS) -> Model:
-    """``learn``: which rows of ``labels`` count; ``may_read``: which documents serve as unlabelled text."""
+    """``learn``: which rows of ``labels`` count; ``may_read``: which documents the features' frequencies may come from."""
     spark = docs.sparkSession
     S.arrow_batches(spark)
     learn = F.lit(True) if learn is None else learn
@@ -86,7 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, may_r
     if not prior or prior >= 1:
         return nothing
     toxic = labelled(known.where(F.col(label) == 1), label, F.lit(True), max_positive, lowest=False).select("doc_id", F.lit(1).alias("toxic"))
-    other = docs.where(F.col("doc_id").isNotNull() & (F.lit(True) if may_read is None else may_read)).select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(max_unlabelled).select("doc_id", F.lit(0).alias("toxic"))
+    other = labelled(known, label, F.lit(True), max_unlabelled).select("doc_id", F.lit(0).alias("toxic"))
     chosen = toxic.unionByName(other)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
     sample = S.cut(rows.mapInArrow(_examples(bits), "toxic int, ids array<int>").groupBy("toxic", F.xxhash64("ids").alias("example")).agg(F.first("ids").alias("ids")))
@@ -94,13 +114,16 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, may_r
     n_p, n_u = count.get(1, 0), count.get(0, 0)
     if not n_p or not n_u:
         return nothing
+    seen = docs if may_read is None else docs.where(may_read)
+    seen = S.table(seen.select("text").mapInArrow(_counts(bits), "feature int, k long").groupBy("feature").agg(F.sum("k").alias("k")), "features")
+    n = seen.where("feature = -1").first()[1]
     pairs = sample.select("toxic", "example", F.explode("ids").alias("feature"))
-    expected = (F.col("u") + 1) * n_p / n_u
+    share = (F.coalesce("k", F.lit(0)) + 1) / float(n)
+    expected = share * n_p
     kept = [
         r[0]
-        for r in pairs.groupBy("feature").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("u"))
-        .where((F.col("p") >= max(3, -(-15 * n_p // 1000))) & (prior * F.col("p") / n_p >= 0.5 * (F.col("u") + 1) / n_u) & ((F.col("p") - expected) / F.sqrt(expected) >= 4))
-        .orderBy(((F.col("p") - expected) / F.sqrt(expected)).desc(), "feature").limit(MAX_FEATURES).select("feature").collect()
+        for r in pairs.where("toxic = 1").groupBy("feature").agg(F.count("*").alias("p")).where(F.col("p") >= MIN_SUPPORT).join(seen, "feature", "left")
+        .where((prior * F.col("p") / n_p >= 0.5 * share) & ((F.col("p") - expected) / F.sqrt(expected) >= 4)).select("feature").collect()
     ]
     if not kept:
         return nothing
@@ -135,13 +158,13 @@ def scores(model: Model, text: pa.Array) -> np.ndarray:
 
 
 def with_score(docs: DataFrame, model: Model, into: str = "score", text: str = "text") -> DataFrame:
-    """Adds the probability of being toxic.  The model that goes out has MAX_FEATURES weights at most."""
+    """Adds the probability of being toxic.  The model goes out once, as a broadcast of what features it has."""
     S.arrow_batches(docs.sparkSession)
-    parts = (model.features, model.weights, model.bias, model.bits)
+    sent = docs.sparkSession.sparkContext.broadcast((model.features, model.weights, model.bias, model.bits))
 
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
-        return pa.array(scores(Model(*parts), column))
+        return pa.array(scores(Model(*sent.value), column))
 
     return docs.withColumn(into, score(F.col(text)))
 

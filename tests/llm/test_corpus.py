@@ -365,6 +365,9 @@ def plain_hits(docs, items):
 
 
 def test_benchmark(spark, tmp_path):
+    line = spark.createDataFrame([(1, "Hello, one two three four five six seven eight nine ten. Bye"), (2, " no hit here ")], "doc_id long, text string")
+    ten = spark.createDataFrame([(7, "ONE two three four five six seven eight nine ten")], "item_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(line, ten, "span").collect()} == {1: "Hello, . Bye", 2: " no hit here "}
     rng = random.Random(6)
     items = [(k, prose(rng, rng.choice([2, 4, 7, 10, 13, 30]), 25)) for k in range(30)] + [(40, None), (41, ""), (42, "..."), (43, "Ünï Code x"), (5, items_text := prose(rng, 12, 25))]
     docs = [(k, prose(rng, rng.randrange(80), 25)) for k in range(80)]
@@ -421,6 +424,37 @@ def test_mixing(spark, rows):
     assert mixing.mix(table(spark, [])).count() == 0 and mixing.copies(table(spark, [(1, None, "a")])).first()["copies"] == 0
 
 
+CLASHES = ["key", "key1", "key2", "gone", "at", "of", "times", "n", "many", "own", "mine", "row", "id", "units", "any", "__k1", "__key1", "__gone", "__id", "__copies", "w", "p", "l", "label", "class", "component", "type", "segments", "score", "quality", "feature", "k", "rows", "place", "start", "removed", "nth"]
+
+
+def test_columns_of_any_name_pass_through(spark, tmp_path):
+    """Each operator that gives documents back, on a table that has the names it uses itself."""
+    rng = random.Random(31)
+    run, item = prose(rng, 60), prose(rng, 12, 50)
+    texts = [f"a\nb\nc\n{run}", f"a\nb\nc\nd {run}", f"{item} and more", None, "", "one"]
+    rows = [(k, t, "s", *([f"x{k}"] * len(CLASHES))) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "source string", *(f"{c} string" for c in CLASHES)]))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    labels = spark.createDataFrame([(0, 1, 0), (5, 0, 1)], "doc_id long, quality int, toxic int")
+    for out in (
+        line_dedup.line_dedup(docs), substring_dedup.substring_dedup(docs), decontaminate.decontaminate(docs, bench), decontaminate.decontaminate(docs, bench, "span"), mixing.mix(docs),
+        ngram_join.keep_one(docs), quality.keep_good(docs, quality.train(docs, labels), 0.0), toxicity.with_score(docs, toxicity.train(docs, labels), "toxicity").drop("toxicity"),
+    ):
+        got = out.collect()
+        assert out.columns == docs.columns and got and all(r[c] == f"x{r['doc_id']}" for r in got for c in CLASHES)
+    assert {r["doc_id"] for r in decontaminate.decontaminate(docs, bench).select("doc_id").collect()} == {0, 1, 3, 4, 5}
+    assert line_dedup.line_dedup(docs.drop("removed"), "removed").where("removed > 0").count() == 1
+
+
+def test_mixing_takes_equal_rows_together(spark):
+    rows = [(1, "a b c", "s")] * 7 + [(k, "d e", "s") for k in range(2, 30)] + [(k, "f " * 20, "t") for k in range(30, 90)] + [(100, "g h", None)] * 3
+    docs = table(spark, rows)
+    want = Counter()
+    for r in mixing.copies(docs).collect():
+        want[r["doc_id"]] += r["copies"]
+    assert Counter(r["doc_id"] for r in mixing.mix(docs).collect()) == +want
+
+
 def test_mixing_keeps_expectations_and_totals(spark):
     due = spark.range(3000).selectExpr("'s' as source", "id", "1 + id % 7 as size", "cast(0.3 as double) as p")
     up = mixing.rounded(due).where("up").join(due, "id").selectExpr("sum(size) as s").first()["s"]
@@ -452,6 +486,21 @@ def test_media_segments():
     assert media.segments(b"BM only words, RIFF too, \xff\xd8\xff") == [] and media.segments(b"") == []
 
 
+def test_ogg_pages_are_verified():
+    def page(flags, body):
+        head = b"OggS\x00" + bytes([flags]) + struct.pack("<QII", 0, 7, 0)
+        tail = bytes([1, len(body)]) + body
+        crc = 0
+        for c in head + bytes(4) + tail:
+            crc ^= c << 24
+            for _ in range(8):
+                crc = (crc << 1 ^ 0x04C11DB7 if crc >> 31 else crc << 1) & 0xFFFFFFFF
+        return head + struct.pack("<I", crc) + tail
+
+    ogg = page(2, b"first") + page(4, b"last")
+    assert media.segments(b"x" + ogg) == [(1, len(ogg), "application/ogg")] and media.segments(ogg.replace(b"last", b"lost")) == []
+
+
 def test_media_round_trip(spark, tmp_path, rows):
     spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = defaultdict(list)
@@ -461,6 +510,15 @@ def test_media_round_trip(spark, tmp_path, rows):
         b = (t or "").encode()
         p = b + b" " * (max(1, -(-len(b) // 192)) * 192 - len(b))
         assert any((r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:])) for r in got[i])
+    kinds = Counter(r["feature"].split()[1].split("+")[0].replace("@0", "") if "@0" in r["feature"] else "embedded" for rs in got.values() for r in rs)
+    assert set(kinds) == {"image/png", "audio/wav", "image/bmp", "application/gzip", "embedded"}
+    for rs in got.values():
+        for r in rs:  # what lies at the start has its true type, whatever was declared; what is embedded leaves the declared one
+            said, kind = r["feature"].split()[0].split(">")
+            assert kind == (r["feature"].split()[1].split("@")[0] if "@0" in r["feature"] else said)
+    assert any(r["feature"].split(">")[0] != r["feature"].split()[0].split(">")[1] for rs in got.values() for r in rs)
+    clash = spark.createDataFrame([("text/plain", bytearray(b".." + riff()), "mine")], "declared string, media binary, Type string")
+    assert media.carve(clash).columns == ["declared", "media", "Type", "type_", "segments"] and media.carve(clash).first()["segments"][0]["bytes"] == riff()
     column = spark.createDataFrame([("text/plain", bytearray(riff())), ("image/png", None), ("image/png", bytearray(b"no"))], "declared string, media binary")
     assert [(r["type"], len(r["segments"])) for r in media.carve(column).collect()] == [("audio/wav", 1), ("image/png", 0), ("image/png", 0)]
 
@@ -511,6 +569,22 @@ def test_token_files(spark, rows):
     assert tokens.encode_and_read(df.where("false")).count() == 0
 
 
+def test_pieces_of_equal_hash_are_told_apart(monkeypatch):
+    enc = tokens.Encoder(tokens.tokenizer_path())
+    real = enc._pieces
+
+    def blind(sub, starts):
+        s, e, h, second = real(sub, starts)
+        return s, e, h & np.uint64(7), second  # a first hash that collides all the time
+
+    monkeypatch.setattr(enc, "_pieces", blind)
+    column = pa.array(["the cat sat", "on a mat", None, "the mat sat on the cat again"])
+    for _ in range(2):
+        ids, counts = enc.encode(column)
+        want = [enc._ids(t or "") + [2] for t in column.to_pylist()]
+        assert ids.tolist() == [x for w in want for x in w] and counts.tolist() == [len(w) for w in want]
+
+
 def test_token_bytes():
     ids = np.array([7] * 300 + list(range(70_000)) + [7], dtype=np.uint32)
     b = tokens.pack([1, None], np.array([300, len(ids) - 300]), ids)
