@@ -5,10 +5,10 @@ Confirmed toxic examples and unlabelled text train a linear model on hashed word
 unseen negatives, and while it is below zero the step goes the other way, so that the model can't drive it there.
 The class prior is the share of label 1 among the rows that may be learned from.
 
-Both example sets are bounded samples of labelled rows (``max_positive`` of the toxic ones; ``max_unlabelled`` of all, whose labels are not
-looked at, so that their mixture has the prior).  Which features count is decided by all documents that may be read: P(f) comes from one aggregation over all of
-them, by hashed feature.  The driver gets the features, 2**bits at most, whose prior-corrected precision
-``prior * P(f|toxic) / P(f)`` reaches a half and that ``MIN_SUPPORT`` toxic examples have, far more than chance would give, and which example has which of those.
+The toxic examples are a bounded sample of the labelled rows (``max_positive``), and the unlabelled text over which the risk is taken is a bounded uniform sample of
+the documents that may be read (``max_unlabelled``, by a hash of doc_id; the README has figures).  Which features count is decided by all of those documents: P(f) comes from
+one aggregation over all of them, by hashed feature.  The driver gets the features, 2**bits at most, whose prior-corrected precision ``prior * P(f|toxic) / P(f)`` reaches a half,
+the count among the toxic examples taken one deviation lower, and that at least ``MIN_SUPPORT`` of them have, far more than chance would give; and which example has which of those.
 Scoring reads every whole text.
 
 Defined cases: a null text scores as an empty one; a null label is none; a document labelled repeatedly counts
@@ -33,6 +33,8 @@ MAX_POSITIVE = 2500
 MAX_UNLABELLED = 10000
 #: Toxic examples that a feature must occur in.
 MIN_SUPPORT = 3
+#: Deviations by which a count among the toxic examples is lowered before a feature's precision is judged, so that rare words must be surer.
+_SURE = 1.0
 BITS = 20
 
 
@@ -96,7 +98,7 @@ def fit(positive: tuple[np.ndarray, np.ndarray, int], unlabelled: tuple[np.ndarr
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, may_read: Column | None = None, label: str = "toxic", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, bits: int = BITS) -> Model:
-    """``learn``: which rows of ``labels`` count; ``may_read``: which documents the features' frequencies may come from."""
+    """``learn``: which rows of ``labels`` count; ``may_read``: which documents serve as unlabelled text and for the features' frequencies."""
     spark = docs.sparkSession
     S.arrow_batches(spark)
     learn = F.lit(True) if learn is None else learn
@@ -106,7 +108,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, may_r
     if not prior or prior >= 1:
         return nothing
     toxic = labelled(known.where(F.col(label) == 1), label, F.lit(True), max_positive, lowest=False).select("doc_id", F.lit(1).alias("toxic"))
-    other = labelled(known, label, F.lit(True), max_unlabelled).select("doc_id", F.lit(0).alias("toxic"))
+    own = docs.where(F.col("doc_id").isNotNull() & (F.lit(True) if may_read is None else may_read)).select("doc_id").distinct()
+    other = own.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(max_unlabelled).select("doc_id", F.lit(0).alias("toxic"))
     chosen = toxic.unionByName(other)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
     sample = S.cut(rows.mapInArrow(_examples(bits), "toxic int, ids array<int>").groupBy("toxic", F.xxhash64("ids").alias("example")).agg(F.first("ids").alias("ids")))
@@ -123,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, may_r
     kept = [
         r[0]
         for r in pairs.where("toxic = 1").groupBy("feature").agg(F.count("*").alias("p")).where(F.col("p") >= MIN_SUPPORT).join(seen, "feature", "left")
-        .where((prior * F.col("p") / n_p >= 0.5 * share) & ((F.col("p") - expected) / F.sqrt(expected) >= 4)).select("feature").collect()
+        .where((prior * (F.col("p") - _SURE * F.sqrt("p")) / n_p >= 0.5 * share) & ((F.col("p") - expected) / F.sqrt(expected) >= 4)).select("feature").collect()
     ]
     if not kept:
         return nothing
