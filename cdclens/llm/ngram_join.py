@@ -310,12 +310,18 @@ def _across(large: DataFrame, percent: int) -> DataFrame:
     return dealt.select(*_TILE, "block", "label", "class")
 
 
-def candidates(first: DataFrame) -> DataFrame:
-    """(a, b): each class on a key and the smallest on it, from rows of (class, keys, links)."""
-    keyed = first.select(F.explode("keys").alias("key"), "class")
-    shared = S.table(keyed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key", "low"), "step")
-    near = keyed.join(S.hint(shared), "key").where("class <> low").select(F.col("class").alias("a"), F.col("low").alias("b"))
-    return near.union(first.select(F.col("class").alias("a"), F.explode("links").alias("b"))).distinct()
+def candidates(first: DataFrame, folded: bool = False) -> DataFrame:
+    """(a, b): each class on a key and the smallest on it, from rows of (class, keys, links).
+
+    ``folded``: a key is there once a batch of documents, however many have it, so rows are dealt by key once, for the aggregation and the join alike.
+    Otherwise a key may have very many rows, which partial aggregation folds and a join may split."""
+    keyed = first.select(F.explode("keys").alias("key"), "class").where("key is not null and class is not null")
+    if folded:
+        keyed = keyed.repartition("key")
+    shared = keyed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key", "low")
+    shared = shared.hint("merge") if folded else S.hint(S.table(shared, "step"))
+    near = keyed.join(shared, "key").where("class <> low").select(F.col("class").alias("a"), F.col("low").alias("b"))
+    return near.union(first.select(F.col("class").alias("a"), F.explode("links").alias("b")))
 
 
 def class_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -323,7 +329,7 @@ def class_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     S.arrow_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key())
     first = S.table(docs.mapInArrow(_first_pass(shingle, percent), "id long, doc_id long, n int, class long, keys array<long>, links array<long>"), "ngram-keys", "uncompressed")
-    cluster = S.table(components(candidates(first)), "step")
+    cluster = S.table(components(candidates(first, folded=True)), "step")
     # one document of each class in a cluster, whatever its number of copies
     one = first.groupBy("class").agg(F.min("id").alias("id"), F.max("n").alias("n"))
     chosen = S.table(one.join(S.hint(cluster), one["class"] == cluster["node"]).select("id", "class", "n", "component"), "step")
