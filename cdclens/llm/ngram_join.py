@@ -11,8 +11,8 @@ component.  No link between classes is lost:
     shingles, so a passage or phrase that many documents share makes hardly any keys.  Sets near a band's upper edge
     also send the next band's keys.
 2.  *Clusters.*  Classes with a key in common form clusters: each links to the smallest class on the key, then components.
-    No pairs are formed here, whatever the number of classes on a key; the smallest is found by partial aggregation, so that a key that
-    very many classes have is a row a task.
+    No pairs are formed here, whatever the number of classes on a key; a key that
+    very many classes have is a row for each batch of documents, and those rows go to one task, which streams them.
 3.  *Tiles.*  A small cluster is one tile.  A large one's classes are dealt to blocks of about ``BLOCK`` by size.  First each
     block is a tile by itself, to which ``ANCHORS`` classes of its own and of the next sizes are added: where a cluster is one group of near copies, that
     links nearly all of it, at a cost in proportion to its classes.  Then blocks are dealt anew, those of one label (what is
