@@ -15,8 +15,9 @@ Equal windows verify themselves (Jaccard 1).  Passages are decided window by win
 others cover is marked, so that a passage that follows another in one document and stands alone in the next is not lost with it.  Windows that overlap or touch in a
 document, and of which all stay or go for the same passage, merge to one.  Words of a unit that stays are never taken out, whatever else covers them.
 
-Plan: one Arrow pass over the texts gives hashes of windows, classes and bands, written once; keys that occur in two documents are found by
-partial aggregation and joined back, broadcast if few.  Only texts with a paragraph in a cluster are read again, for the exact sets.
+Plan: one Arrow pass over the texts gives hashes of windows, classes and bands, written once.  Their rows are dealt by key once, for the aggregation that finds the
+keys of two documents and for the join back alike, whatever their number.  Bands that several classes of a slice have leave it once; windows that ``HOT`` documents of a slice
+have are found apart, by partial aggregation and a join that may be split.  Only texts with a paragraph in a cluster are read again, for the exact sets.
 
 Places are ordered by doc_id (null last), a hash of the row, and position.  Defined cases: null, empty and short texts have no units; repeats within one
 document alone are left, but of what another document has too every place in a document counts; equal rows (same doc_id and text) are one
@@ -47,6 +48,8 @@ WINDOW, KEEP_ONE_OF = 20, 10
 MAX_WIDTH = 200
 #: Words from which a unit is called long; a passage's found part may lack up to nine words at either end.
 LONG = 40
+#: Documents of one slice of a batch from which a window they share counts as very common.
+HOT = 32
 #: Words whose units are hashed at once.
 CHUNK = 1 << 18
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -176,34 +179,64 @@ def windows(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc[at], at - t.off[doc[at]], g[at]
 
 
-_UNIT = "struct<line:int,n_lines:int,first:int,n_words:int,class:bigint,bands:array<bigint>>"
-_SCHEMA = f"id long, doc_id long, at array<int>, key array<long>, units array<{_UNIT}>"
+_UNIT = "struct<line:int,n_lines:int,first:int,n_words:int,class:bigint,bands:array<bigint>,links:array<bigint>>"
+_SCHEMA = f"id long, doc_id long, at array<int>, key array<long>, hot array<long>, units array<{_UNIT}>"
 
 
 def _list(values: pa.Array, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), values)
 
 
-def _pass(batches):
-    """A class's bands go out once a batch."""
-    for batch in batches:
-        for t in texts(batch.column("text")):
-            n = t.b - t.a
-            doc, at, key = windows(t)
-            of, line, n_lines, first, n_words = units(t)
-            classes, bands = signatures(t.h, first, n_words)
-            some = np.zeros(len(classes), dtype=bool)
-            some[np.unique(classes, return_index=True)[1]] = True
-            bands = _list(pa.array(bands[some].ravel().view(np.int64)), some * BANDS)
-            fields = [pa.array(x.astype(np.int32)) for x in (line, n_lines, first - t.off[:-1][of], n_words)] + [pa.array(classes.view(np.int64)), bands]
-            unit = pa.StructArray.from_arrays(fields, names=["line", "n_lines", "first", "n_words", "class", "bands"])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id").slice(t.a, n), batch.column("doc_id").slice(t.a, n), _list(pa.array(at.astype(np.int32)), np.bincount(doc, minlength=n)),
-                    _list(pa.array(key.view(np.int64)), np.bincount(doc, minlength=n)), _list(unit, np.bincount(of, minlength=n)),
-                ],
-                names=["id", "doc_id", "at", "key", "units"],
-            )
+def folded(classes: np.ndarray, bands: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, keys of each unit, links, links of each unit): the bands of a slice's units, each once.  A key stays with the first class that has it, to which the
+    others link; a class's further units have neither."""
+    some = np.sort(np.unique(classes, return_index=True)[1])
+    flat, owner = bands[some].ravel(), np.repeat(np.arange(len(some)), BANDS)
+    order = np.argsort(flat, kind="stable")
+    head = np.ones(len(flat), dtype=bool)
+    head[1:] = flat[order][1:] != flat[order][:-1]
+    first = owner[order][np.maximum.accumulate(np.where(head, np.arange(len(flat)), 0))]
+    apart = owner[order] != first
+    a, b = np.divmod(np.unique(owner[order][apart] * len(some) + first[apart]), max(1, len(some)))
+    keep = np.zeros(len(flat), dtype=bool)
+    keep[order[head]] = True
+    n_keys, n_links = np.zeros(len(classes), dtype=np.int64), np.zeros(len(classes), dtype=np.int64)
+    n_keys[some], n_links[some] = np.bincount(owner[keep], minlength=len(some)), np.bincount(a, minlength=len(some))
+    return flat[keep], n_keys, classes[some][b], n_links
+
+
+def common(doc: np.ndarray, key: np.ndarray, documents: int) -> np.ndarray:
+    """The keys that so many documents of a slice have."""
+    order = np.lexsort((doc, key))
+    k, d = key[order], doc[order]
+    new = np.ones(len(k), dtype=bool)
+    new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
+    values, n = np.unique(k[new], return_counts=True)
+    return values[n >= documents]
+
+
+def _pass(hot: int):
+    def of_batches(batches):
+        for batch in batches:
+            for t in texts(batch.column("text")):
+                n = t.b - t.a
+                doc, at, key = windows(t)
+                often = common(doc, key, hot)
+                of, line, n_lines, first, n_words = units(t)
+                classes, bands = signatures(t.h, first, n_words)
+                keys, n_keys, links, n_links = folded(classes, bands)
+                fields = [pa.array(x.astype(np.int32)) for x in (line, n_lines, first - t.off[:-1][of], n_words)]
+                fields += [pa.array(classes.view(np.int64)), _list(pa.array(keys.view(np.int64)), n_keys), _list(pa.array(links.view(np.int64)), n_links)]
+                unit = pa.StructArray.from_arrays(fields, names=["line", "n_lines", "first", "n_words", "class", "bands", "links"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("id").slice(t.a, n), batch.column("doc_id").slice(t.a, n), _list(pa.array(at.astype(np.int32)), np.bincount(doc, minlength=n)),
+                        _list(pa.array(key.view(np.int64)), np.bincount(doc, minlength=n)), _list(pa.array(often.view(np.int64)), len(often) * (np.arange(n) == 0)), _list(unit, np.bincount(of, minlength=n)),
+                    ],
+                    names=["id", "doc_id", "at", "key", "hot", "units"],
+                )
+
+    return of_batches
 
 
 def _sets(batches):
@@ -244,17 +277,29 @@ def _runs(rows: DataFrame, *same: str) -> DataFrame:
     return rows.withColumn("from", F.last(F.when(~F.coalesce(on, F.lit(False)), F.col("start")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def _first_places(rows: DataFrame, hot: bool = False) -> DataFrame:
+    """The rows (id, doc_id, start, key) of keys that two documents have, with first_doc_id and whether the row ``stays``, as it is the key's first place.
+    Rows are dealt by key once; those of ``hot`` keys are not, as a key's would be in one task."""
+    rows = rows if hot else rows.repartition("key")
+    first = rows.groupBy("key").agg(F.min(_place("start")).alias("p"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", "p")
+    out = rows.join(S.hint(S.table(first, "step")) if hot else first.hint("merge"), "key")
+    return out.select("key", "id", "doc_id", "start", F.col("p.doc_id").alias("first_doc_id"), ((F.col("id") == F.col("p.id")) & (F.col("start") == F.col("p.start"))).alias("stays"))
+
+
 def passages(first: DataFrame) -> DataFrame:
     """(id, doc_id, start, n_words, passage_id, first_doc_id, removed) of runs of windows that two documents have: of each window
     the first place stays, and a run of other places has the passage_id of the run that stays for it.  ``start``: a word's place, from 0."""
     rows = first.select("id", "doc_id", F.explode(F.arrays_zip("at", "key")).alias("w")).select("id", "doc_id", F.col("w.at").alias("start"), F.col("w.key").alias("key"))
-    shared = S.table(rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key"), "step")
-    hits = S.table(rows.join(S.hint(shared, 1_000_000), "key"), "step")
-    S.discard(shared)
-    one = hits.groupBy("key").agg(F.min(_place("start")).alias("p")).select("key", "p.id", "p.doc_id", "p.start")
-    stays = S.table(_runs(one).withColumn("passage_id", F.xxhash64("id", "from")), "step")
-    named = stays.select("key", F.col("id").alias("first_id"), F.col("doc_id").alias("first_doc_id"), F.col("start").alias("first_start"), "passage_id")
-    gone = hits.join(S.hint(named), "key").where((F.col("id") != F.col("first_id")) | (F.col("start") != F.col("first_start")))
+    hot = S.table(first.select(F.explode("hot").alias("key")).distinct(), "step")
+    if hot.isEmpty():
+        hits = _first_places(rows)
+    else:
+        hits = _first_places(rows.join(S.hint(hot), "key", "left_anti")).unionByName(_first_places(rows.join(S.hint(hot), "key", "left_semi"), True))
+    hits = S.table(hits, "step")
+    S.discard(hot)
+    S.release(hits.sparkSession)
+    stays = S.table(_runs(hits.where("stays").select("key", "id", "doc_id", "start")).withColumn("passage_id", F.xxhash64("id", "from")), "step")
+    gone = hits.where("not stays").join(S.hint(stays.select("key", "passage_id")), "key")
     gone = _runs(gone.select("id", "doc_id", "start", "passage_id", "first_doc_id"), "passage_id")
     n_words = (F.max(F.col("start")) + WINDOW - F.col("from")).alias("n_words")
     kept = stays.groupBy("id", "doc_id", "from", "passage_id").agg(n_words).withColumns({"first_doc_id": F.col("doc_id"), "removed": F.lit(False)})
@@ -265,7 +310,8 @@ def passages(first: DataFrame) -> DataFrame:
 def paragraphs(first: DataFrame, docs: DataFrame) -> DataFrame:
     """(id, doc_id, start, n_lines, n_words, passage_id, first_doc_id, removed) of near-equal paragraphs; ``start``: the first line's place, from 0."""
     own = first.select("id", "doc_id", F.posexplode("units").alias("place", "u"))
-    cluster = S.table(components(J.candidates(own.select(F.col("u.class").alias("class"), F.col("u.bands").alias("keys"), F.expr("array()").cast("array<long>").alias("links")))), "step")
+    cluster = S.table(components(J.candidates(own.select(F.col("u.class").alias("class"), F.col("u.bands").alias("keys"), F.col("u.links").alias("links")), folded=True)), "step")
+    S.release(docs.sparkSession)
     members = own.select("id", "doc_id", "place", "u.line", "u.n_lines", "u.n_words", "u.class")
     # of each class its first place, and the first and last document that has it
     one = members.groupBy("class").agg(F.min(_place("line", (-F.col("n_lines")).alias("less"), "place")).alias("low"), F.max(_place()).alias("high"))
@@ -279,6 +325,7 @@ def paragraphs(first: DataFrame, docs: DataFrame) -> DataFrame:
     links = J.linked(chosen, sets, PERCENT)
     comp = S.table(components(links), "step")
     S.discard(cluster, picked, sets, chosen, links)
+    S.release(docs.sparkSession)
     group = one.join(S.hint(comp), one["class"] == comp["node"], "left").select("class", "low", "high", F.coalesce("component", "class").alias("passage_id"))
     group = S.table(group, "step")
     S.discard(comp, one)
@@ -301,12 +348,12 @@ def repeats(docs: DataFrame) -> DataFrame:
     document has; ``id`` is the row's key, ``start`` a word's place in a passage and a line's in a paragraph."""
     S.arrow_batches(docs.sparkSession)
     docs = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("id", row_key())
-    first = S.table(docs.mapInArrow(_pass, _SCHEMA), "substring-hashes", "uncompressed")
+    first = S.table(docs.mapInArrow(_pass(HOT), _SCHEMA), "substring-hashes")
     equal = S.table(first.groupBy("id").count().where("count > 1").select("id"), "step")
     if not equal.isEmpty():  # of equal rows one counts
         docs = docs.join(S.hint(equal), "id", "left_anti").unionByName(docs.join(S.hint(equal), "id").dropDuplicates(["id"]).select(*docs.columns))
         S.discard(first)
-        first = S.table(docs.mapInArrow(_pass, _SCHEMA), "substring-hashes", "uncompressed")
+        first = S.table(docs.mapInArrow(_pass(HOT), _SCHEMA), "substring-hashes")
     S.discard(equal)
     cols = ["id", "doc_id", "kind", F.col("start").cast("long").alias("start"), F.col("n_lines").cast("long").alias("n_lines"), F.col("n_words").cast("long").alias("n_words"), "passage_id", "first_doc_id", "removed"]
     found = passages(first).withColumns({"kind": F.lit("passage"), "n_lines": F.lit(None)}).select(*cols)

@@ -222,6 +222,37 @@ def test_repeats_against_brute_force(spark, repeating):
             at = max(end, at + 1)
 
 
+def test_a_slice_sends_each_band_once_and_keeps_its_links():
+    classes = np.array([5, 7, 5, 9, 11], dtype=np.uint64)
+    bands = np.arange(5 * 16, dtype=np.uint64).reshape(5, 16)
+    bands[2] = bands[0]  # one class twice
+    bands[3, :3], bands[4, 15] = bands[0, :3], bands[3, 15]
+    keys, n_keys, links, n_links = substring_dedup.folded(classes, bands)
+    assert len(keys) == len(set(keys.tolist())) == n_keys.sum() and set(keys.tolist()) == set(bands.ravel().tolist())
+    assert n_keys.tolist() == [16, 16, 0, 13, 15] and n_links.tolist() == [0, 0, 0, 1, 1] and links.tolist() == [5, 9]
+    assert all(len(x) == 0 for x in substring_dedup.folded(classes[:0], bands[:0]))
+
+
+def test_common_windows_give_the_same(spark, repeating, monkeypatch):
+    """Windows of very many documents go another way: with all shared ones taken as such, and none, the same comes out."""
+    found = []
+    for hot in (2, 10**9):
+        monkeypatch.setattr(substring_dedup, "HOT", hot)
+        found.append(sorted(map(str, substring_dedup.repeats(table(spark, repeating)).collect())))
+    assert found[0] == found[1] and found[0]
+    keys, docs = np.array([3, 3, 4, 4, 4], dtype=np.uint64), np.array([0, 1, 0, 0, 0])
+    assert substring_dedup.common(docs, keys, 2).tolist() == [3]  # documents count, not places
+
+
+def test_windows_are_dealt_by_key_once(spark, repeating):
+    docs = table(spark, repeating).where("text is not null").select("doc_id", "text").withColumn("id", substring_dedup.row_key())
+    rows = docs.mapInArrow(substring_dedup._pass(substring_dedup.HOT), substring_dedup._SCHEMA).selectExpr("id", "doc_id", "explode(arrays_zip(at, key)) w").selectExpr("id", "doc_id", "w.at start", "w.key key")
+    hits = substring_dedup._first_places(rows)
+    hits.collect()
+    plan = hits._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[1]
+    assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_COL") > 0  # no other exchange, neither for the aggregation nor for the join
+
+
 def test_nothing_is_lost(spark, repeating):
     rows = [(i, t, s) for i, t, s in repeating]
     out = substring_dedup.substring_dedup(table(spark, rows))
